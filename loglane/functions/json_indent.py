@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import re
 
+from loglane.functions.text import WHITE_SPACE
+
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
-# Unicode white space.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _refuse(name: str) -> None:
@@ -15,7 +15,7 @@ def _refuse(name: str) -> None:
 
 
 def indent_json(text: str, indent: str) -> str:
-    body = text.strip(_SPACE)
+    body = text.strip(WHITE_SPACE)
     try:
         json.loads(body, parse_constant=_refuse)
     except (ValueError, RecursionError):

@@ -11,12 +11,16 @@ COLOUR_CODES = r"\x1B\[[0-9;]*m"
 # Fixed value: a key=value pair, the value bare or in double quotes.
 KEY_VALUE = r'(\w+)=("[^"]*"|[^\t\n\f\r ]+)'
 
-_SPACE_AT_ENDS = r"(?U)^\s+|\s+\z"
+# Unicode white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_space(text: Column) -> Column:
-    """Trim Unicode white space at both ends (Spark's ``trim`` removes spaces only)."""
-    return F.regexp_replace(text, F.lit(_SPACE_AT_ENDS), F.lit(""))
+    """Trim Unicode white space at both ends (Spark's plain ``trim`` removes spaces only)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_control_codes(text: Column) -> Column:
