@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loglane.functions.layouts import DEFAULT_LAYOUTS
 from loglane.functions.text import normal_form
 from loglane.operators.fuzzy import fuzzy_firsts
+from loglane.plans.lineage import broadcast_if_small, cut
 from loglane.operators.filters import since as keep_since
 from loglane.schema import require
 
@@ -40,13 +41,15 @@ def first_seen(df: DataFrame) -> DataFrame:
     return df.groupBy(norm.alias("norm")).agg(F.min("seq").alias("first_seq"))
 
 
-def _mark_firsts(df: DataFrame, firsts: DataFrame) -> DataFrame:
+def mark_firsts(df: DataFrame, firsts: DataFrame) -> DataFrame:
     """``drift`` where ``seq`` is among ``firsts.first_seq``.
 
-    The join is on ``seq``, which is unique on both sides, so a text that fills a third of the
-    table does no harm; where the distinct texts are few, Spark broadcasts them at run time.
+    The numbers are found first and kept. If they are few, the lines need no shuffle at all;
+    otherwise the join is on ``seq``, unique on both sides, so a text that fills a third of the
+    table does no harm.
     """
-    firsts = firsts.select(F.col("first_seq").alias("seq"), F.lit(True).alias("__new"))
+    firsts = cut(firsts.select(F.col("first_seq").alias("seq")))
+    firsts = broadcast_if_small(firsts.withColumn("__new", F.lit(True)))
     out = df.join(firsts, "seq", "left")
     return out.withColumn("drift", F.coalesce("__new", F.lit(False))).drop("__new")
 
@@ -59,7 +62,7 @@ def drift_uniq(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     firsts = first_seen(df)
     if seen is not None:
         firsts = firsts.join(seen.select("norm"), "norm", "left_anti")
-    return _mark_firsts(df, firsts)
+    return mark_firsts(df, firsts)
 
 
 def _drift_other_services(df: DataFrame) -> DataFrame:
@@ -92,7 +95,7 @@ def drift_fuzzy(df: DataFrame, threshold: float = 0.8, seen: DataFrame | None =
         start = df.agg(F.min("seq")).first()[0]
         firsts = firsts.join(seen.select("norm"), "norm", "left_anti")
         firsts = firsts.unionByName(seen.select("norm", "first_seq"))
-    return _mark_firsts(df, fuzzy_firsts(firsts, threshold, start))
+    return mark_firsts(df, fuzzy_firsts(firsts, threshold, start))
 
 
 # --- against a snapshot, between two services -------------------------------------------------

@@ -35,13 +35,12 @@ def _joined(order: Column, text: Column, sep: str) -> Column:
 
 def run_blocks(df: DataFrame, max_lines: int, chunks: int | None = None) -> DataFrame:
     """Add ``__block`` and ``__pos``: blocks of at most ``max_lines`` lines inside each run."""
-    service = F.col("service")
 
     # A run with an empty service name does not end when the service changes.
-    def changes(prev: Column) -> Column:
-        return ~prev["v"].eqNullSafe(service) & ~prev["v"].eqNullSafe(F.lit(""))
+    def changes(prev: Column, service: Column) -> Column:
+        return ~prev.eqNullSafe(service) & ~prev.eqNullSafe(F.lit(""))
 
-    df, _ = with_runs(df, ARRIVAL, None, service, changes, chunks=chunks)
+    df, _ = with_runs(df, ARRIVAL, None, F.col("service"), changes, chunks=chunks)
     place = F.col("__pos") - F.col("__start")
     return df.withColumn("__block", F.col("__pos") - place % max_lines)
 
@@ -148,7 +147,7 @@ def coalesce_bursts(
     require(df, "seq", "service", "text", "ts")
     us = _positive("window", window)
     df = df.withColumn("__us", micros(df))
-    quiet = lambda prev: F.col("__us") - prev["v"] > us
+    quiet = lambda prev, at: at - prev > us
     df, _ = with_runs(df, TIME, "service", F.col("__us"), quiet, chunks=chunks)
     keys = ["service", "__start"]
     first = F.min_by(F.struct("seq", "ts"), F.col("__pos")).alias("first")

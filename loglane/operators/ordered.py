@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 from loglane.functions.regex import matches, translate
 from loglane.plans.chunks import (
+    CHUNK,
     Carry,
     add_chunks,
     carry,
     clean,
     count_rows,
+    keys_of,
     last_row,
     local,
+    with_group,
     with_position,
     with_runs,
 )
+from loglane.plans.lineage import broadcast_if_small, cut
 from loglane.schema import duration_micros, from_micros, micros, require
 
 State = dict[str, DataFrame]
@@ -167,9 +171,9 @@ def with_previous(df: DataFrame, value: Column, name: str, *, chunks: int | None
 
 
 def _suppress(df, max_reps, state=None, chunks=None):
-    changed = lambda prev: ~prev["v"].eqNullSafe(F.col("text"))
-    df, after = with_runs(df, ARRIVAL, "service", F.col("text"), changed, state, chunks)
-    return clean(df.filter(F.col("__pos") - F.col("__start") < max_reps)), after
+    changed = lambda prev, text: ~prev.eqNullSafe(text)
+    df, after = with_runs(df, ARRIVAL, "service", F.col("text"), changed, (state or {}).get("rows"), chunks)
+    return clean(df.filter(F.col("__pos") - F.col("__start") < max_reps)), {"rows": after}
 
 
 def suppress(df: DataFrame, max_reps: int, *, chunks: int | None = None) -> DataFrame:
@@ -291,10 +295,9 @@ def service_order(df: DataFrame, state: DataFrame | None = None, chunks: int | N
 
 def with_service_index(df: DataFrame, order: DataFrame | None = None, *, chunks: int | None = None) -> DataFrame:
     """Add ``index``: how many services appeared before this one."""
-    order = service_order(df, chunks=chunks) if order is None else order
-    order = order.select(F.col("service").alias("__svc"), "index")
-    # One small row per service: Spark broadcasts it when its measured size allows, else it
-    # shuffles and splits a service that fills more than its share.
+    # One small row per service.
+    order = cut(service_order(df, chunks=chunks)) if order is None else order
+    order = broadcast_if_small(order.select(F.col("service").alias("__svc"), "index"))
     return df.join(order, df["service"].eqNullSafe(F.col("__svc")), "left").drop("__svc")
 
 
@@ -374,16 +377,30 @@ def _pace(df, rate, group, state=None, chunks=None):
     if rate == 0:
         return df.withColumn("paced_ts", F.col("ts")).withColumn("delay_us", F.lit(0).cast("bigint")), {}
     step = 1_000_000_000 // rate
-    df, rows = with_position(df.withColumn("__us", micros(df)), ARRIVAL, group, state.get("rows"), chunks)
+    df = add_chunks(df.withColumn("__us", micros(df)), ARRIVAL, chunks)
     # A line leaves at the latest of: its own time, and one step after the line before it. With
-    # time measured from an even schedule that is a running maximum.
-    lead = F.col("__us") * 1000 - F.col("__pos") * F.lit(step)
-    df = df.withColumn("__lead", lead)
-    df, leads = carry(df, group, [Carry("__before", F.max("__lead"), "max")], state.get("leads"))
-    w = local(group, ARRIVAL).rowsBetween(Window.unboundedPreceding, 0)
-    most = F.greatest(F.max("__lead").over(w), F.col("__before"))
-    df = df.withColumn("__nanos", most + F.col("__pos") * F.lit(step))
+    # time measured from an even schedule that is a running maximum. A chunk's maximum is taken
+    # with positions counted inside it and moved when its place is known.
+    w = local(group, ARRIVAL)
+    df = with_group(df, group)
+    lead = F.col("__us") * 1000 - F.col("__rn") * F.lit(step)
+    narrow = df.select(*keys_of(group), CHUNK, "seq", "__us").withColumn("__rn", F.row_number().over(w).cast("bigint"))
+    summary = narrow.groupBy(*keys_of(group), CHUNK).agg(
+        F.count(F.lit(1)).alias("__n"), F.max(lead).alias("__lead")
+    )
+    if "rows" in state:
+        summary = state["rows"].withColumn(CHUNK, F.lit(-1).cast("bigint")).unionByName(summary)
+    cw = Window.partitionBy(*keys_of(group)).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("__before", F.coalesce(F.sum("__n").over(cw), F.lit(0)))
+    summary = summary.withColumn("__lead", F.col("__lead") - F.col("__before") * F.lit(step))
+    after = summary.groupBy(*keys_of(group)).agg(F.sum("__n").alias("__n"), F.max("__lead").alias("__lead"))
+    before = summary.select(*keys_of(group), CHUNK, "__before", F.max("__lead").over(cw).alias("__earlier"))
+    df = df.join(before, [*keys_of(group), CHUNK])
+    df = df.withColumn("__rn", F.col("__before") + F.row_number().over(w))
+    df = df.withColumn("__lead", F.max(lead).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    most = F.greatest(F.col("__lead"), F.col("__earlier"))
+    df = df.withColumn("__nanos", most + F.col("__rn") * F.lit(step))
     df = df.withColumn("__paced", F.expr("__nanos div 1000"))
     out = df.withColumn("paced_ts", from_micros(df, F.col("__paced")))
     out = out.withColumn("delay_us", F.col("__paced") - F.col("__us"))
-    return clean(out), {"rows": rows, "leads": leads}
+    return clean(out), {"rows": after}

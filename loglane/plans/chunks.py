@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = "__chunk"
+ARRIVAL_CHUNK = "__arrival_chunk"
 
 # Rows per chunk once there are many, the least worth a chunk of its own, and the most chunks.
 ROWS_PER_CHUNK = 1_000_000
@@ -101,6 +102,8 @@ def add_chunks(df: DataFrame, order: list[str], chunks: int | None = None) -> Da
     """
     if CHUNK in df.columns:
         return df
+    if order == ["seq"] and ARRIVAL_CHUNK in df.columns:
+        return df.withColumn(CHUNK, F.col(ARRIVAL_CHUNK))
     if chunks is None or chunks > 1:
         keys = df.select(*[_as_double(df, c).alias(f"k{i}") for i, c in enumerate(order)])
         rows = keys.count()
@@ -154,7 +157,16 @@ def add_chunks(df: DataFrame, order: list[str], chunks: int | None = None) -> Da
     return out.withColumn(CHUNK, chunk).drop(*temp)
 
 
-def _with_group(df: DataFrame, group: str | None) -> DataFrame:
+def with_arrival_chunks(df: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Cut a table by ``seq`` once for a chain of operators.
+
+    The chunk column stays on the rows, so each operator of the chain takes it over instead of
+    counting and sampling its input.
+    """
+    return add_chunks(df, ["seq"], chunks).withColumnRenamed(CHUNK, ARRIVAL_CHUNK)
+
+
+def with_group(df: DataFrame, group: str | None) -> DataFrame:
     """Two non-null columns that stand for the group, so that joins on it are plain equality."""
     if group is None or _GROUP[0] in df.columns:
         return df
@@ -175,7 +187,7 @@ def carry(
     reverse: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Join to every row what the earlier chunks of its group carry; also return the new state."""
-    df = _with_group(df, group)
+    df = with_group(df, group)
     keys = keys_of(group)
     summary = df.groupBy(*keys, CHUNK).agg(*[c.agg.alias(c.name) for c in carries])
     if state is not None:
@@ -194,6 +206,7 @@ def local(group: str | None, order: list[str], reverse: bool = False) -> WindowS
 
 def clean(df: DataFrame, *keep: str) -> DataFrame:
     """Drop the helper columns of this module and of its callers."""
+    keep = (*keep, ARRIVAL_CHUNK)
     return df.drop(*[c for c in df.columns if c.startswith("__") and c not in keep])
 
 
@@ -217,26 +230,57 @@ def with_runs(
     group: str | None,
     value: Column,
     starts,
-    state: dict[str, DataFrame] | None = None,
+    state: DataFrame | None = None,
     chunks: int | None = None,
-) -> tuple[DataFrame, dict[str, DataFrame]]:
+) -> tuple[DataFrame, DataFrame]:
     """Add ``__pos`` and ``__start``: a row's position and that of the first row of its run.
 
-    ``starts(previous)`` says whether a row opens a run, given the struct column ``previous`` with
-    the field ``v`` = ``value`` of the row before it in the group (null for the first row).
+    ``starts(previous, value)`` says whether a row opens a run, given its ``value`` and that of the
+    row before it in its group; the first row of a group always opens one.
+
+    Only the first row of a chunk needs to know what came before, so the chunks are summed up from
+    windows inside them, over the few columns involved, and the first rows are settled in the
+    summary. All columns are shuffled once.
     """
-    state = state or {}
-    w = local(group, order)
-    df = add_chunks(df, order, chunks).withColumn("__value", value)
-    df, rows = carry(
-        df, group, [count_rows(), last_row(F.col("__value"), order, "__prev")], state.get("rows")
+    df = with_group(add_chunks(df, order, chunks).withColumn("__value", value), group)
+    keys, w = keys_of(group), local(group, order)
+    held = F.struct(F.col("__value").alias("v"))
+    narrow = df.select(*keys, CHUNK, *order, "__value")
+    narrow = narrow.withColumn("__rn", F.row_number().over(w)).withColumn("__lag", F.lag(held).over(w))
+    opens = F.col("__lag").isNotNull() & starts(F.col("__lag.v"), F.col("__value"))
+    narrow = narrow.withColumn("__open", F.when(opens, F.col("__rn")))
+    summary = narrow.groupBy(*keys, CHUNK).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.max_by(held, F.col("__rn")).alias("__last"),
+        F.min_by(held, F.col("__rn")).alias("__first"),
+        F.max("__open").cast("bigint").alias("__begin"),
+    )
+    known = F.lit(False)
+    if state is not None:
+        earlier = state.withColumn(CHUNK, F.lit(-1).cast("bigint")).withColumn("__first", F.col("__last"))
+        summary = earlier.unionByName(summary)
+        known = F.col(CHUNK) == -1
+    cw = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("__before", F.coalesce(F.sum("__n").over(cw), F.lit(0)))
+    summary = summary.withColumn("__prev", F.last("__last", ignorenulls=True).over(cw))
+    first = F.col("__prev").isNull() | starts(F.col("__prev.v"), F.col("__first.v"))
+    begin = (
+        F.when(known, F.col("__begin"))
+        .when(F.col("__begin").isNotNull(), F.col("__before") + F.col("__begin"))
+        .when(first, F.col("__before") + 1)
+    )
+    summary = summary.withColumn("__begin", begin)
+    after = summary.groupBy(*keys).agg(
+        F.sum("__n").alias("__n"),
+        F.max_by("__last", CHUNK).alias("__last"),
+        F.max("__begin").alias("__begin"),
     )
-    previous = F.coalesce(F.lag(F.struct(F.col("__value").alias("v"))).over(w), F.col("__prev"))
-    df = df.withColumn("__pos", (F.col("__n") + F.row_number().over(w)).cast("bigint"))
-    df = df.withColumn("__prev", previous)
-    opens = F.col("__prev").isNull() | starts(F.col("__prev"))
-    df = df.withColumn("__open", F.when(opens, F.col("__pos"))).drop("__n", "__prev", "__value")
-    df, runs = carry(df, group, [Carry("__before", F.max("__open"), "max")], state.get("runs"))
+    before = summary.select(*keys, CHUNK, "__before", "__prev", F.max("__begin").over(cw).alias("__begin"))
+    df = df.join(before, [*keys, CHUNK])
+    df = df.withColumn("__prev", F.coalesce(F.lag(held).over(w), F.col("__prev")))
+    df = df.withColumn("__pos", (F.col("__before") + F.row_number().over(w)).cast("bigint"))
+    opens = F.col("__prev").isNull() | starts(F.col("__prev.v"), F.col("__value"))
+    df = df.withColumn("__open", F.when(opens, F.col("__pos")))
     w = w.rowsBetween(Window.unboundedPreceding, 0)
-    start = F.coalesce(F.max("__open").over(w), F.col("__before"))
-    return df.withColumn("__start", start).drop("__open", "__before"), {"rows": rows, "runs": runs}
+    df = df.withColumn("__start", F.coalesce(F.max("__open").over(w), F.col("__begin")))
+    return df.drop("__value", "__before", "__prev", "__begin", "__open"), after

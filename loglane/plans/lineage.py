@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Tables of a few numbers per row are broadcast up to this many rows, some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -24,3 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once, reliably, and read it from there in every later use."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Ask for a broadcast only where the rows, counted, are few; else leave the join to Spark.
+
+    ``df`` should be narrow and cheap to read again (a table, or the result of ``cut``).
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglane.operators.ordered import with_byte_offset
+from loglane.plans.lineage import broadcast_if_small
 from loglane.schema import require
 
 SNAPSHOT_SCHEMA = "service string, line string, captured_at timestamp, created_at timestamp"
@@ -123,7 +124,8 @@ def load_checkpoint(spark: SparkSession, path: str, version: int | None = None)
 def resume(df: DataFrame, checkpoint: DataFrame, *, chunks: int | None = None) -> DataFrame:
     """Lines at or past the stored byte offset of their service."""
     stored = checkpoint.select(F.col("service").alias("__svc"), F.col("offset").alias("__stored"))
-    # One small row per service; Spark picks broadcast or a shuffle by the measured size.
+    # One small row per service.
+    stored = broadcast_if_small(stored)
     lines = with_byte_offset(df, chunks=chunks).join(stored, F.col("service") == F.col("__svc"), "left")
     kept = lines.filter(F.col("offset") >= F.coalesce("__stored", F.lit(0)))
     return kept.drop("__svc", "__stored", "offset")

@@ -99,7 +99,7 @@ def stream_logs(
 ) -> DataFrame:
     """The same as a stream: each new file in a source's folder arrives once.
 
-    Columns ``service, text, ts`` and ``place`` (path, split and line, the order inside a batch);
+    Columns ``service, text, ts`` and ``place`` (the file and split of the line);
     ``streaming.stateful`` numbers the lines. ``start='latest'`` skips files older than now.
     """
     if start not in ("earliest", "latest"):
@@ -116,7 +116,6 @@ def stream_logs(
             F.col("_metadata.file_modification_time").alias("modified"),
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("id"),
         )
         parts.append(
             lines.select(

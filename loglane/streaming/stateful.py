@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,22 +51,16 @@ def load_state(spark: SparkSession, folder: str, names: list[str], batch: int) -
 def number_lines(df: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Replace ``place`` (where a line came from) by ``seq``, counting over all batches."""
     split = ["modified", "path", "start"]
-    df = df.select("*", "place.*").drop("place")
+    # Lines of a split stand in one task in their order.
+    df = cut(df.select("*", "place.*", F.monotonically_increasing_id().alias("__id")).drop("place"))
     # One row per file split of the batch.
-    splits = df.select(*split).distinct().withColumn("__u", F.unix_micros("modified"))
-    splits = _rank(splits, ["__u", "path", "start"])
-    df = df.join(splits, split).drop(*split).withColumnRenamed("id", "__id")
+    splits = df.select(*split).distinct()
+    splits = splits.withColumn("__split", F.row_number().over(Window.orderBy(*split)))
+    df = df.join(splits, split).drop(*split)
     df, after = with_position(df, ["__split", "__id"], None, state, name="seq")
     return clean(df), after
 
 
-def _rank(splits: DataFrame, order: list[str]) -> DataFrame:
-    from pyspark.sql import Window
-
-    ranked = splits.withColumn("__split", F.row_number().over(Window.orderBy(*order)))
-    return ranked.drop("__u")
-
-
 def run(
     stream: DataFrame,
     step: Step,
@@ -90,7 +84,6 @@ def run(
         after: State = {}
         if "place" in df.columns:
             df, after["lines"] = number_lines(df, before.get("lines"))
-            df = cut(df)
         out, new = step(df, before)
         after.update(new)
         out.write.mode("overwrite").format(fmt).save(f"{output}/batch={batch}")

@@ -45,7 +45,7 @@ def dedupe() -> StreamStep:
 
 
 def suppress(max_reps: int) -> StreamStep:
-    return StreamStep(lambda df, st: od._suppress(df, max_reps, st), ["rows", "runs"])
+    return StreamStep(lambda df, st: od._suppress(df, max_reps, st), ["rows"])
 
 
 def debounce(window) -> StreamStep:
@@ -67,7 +67,7 @@ def sequence(prefix: str = "#") -> StreamStep:
 
 def pace(lines_per_second: int, *, per_service: bool = False) -> StreamStep:
     group = "service" if per_service else None
-    return StreamStep(lambda df, st: od._pace(df, lines_per_second, group, st), ["rows", "leads"])
+    return StreamStep(lambda df, st: od._pace(df, lines_per_second, group, st), ["rows"])
 
 
 def service_index() -> StreamStep:
@@ -179,6 +179,6 @@ def drift(mode: str = "uniq", threshold: float = 0.8) -> StreamStep:
         new = cut(new)
         if mode == "fuzzy":
             return dr.drift_fuzzy(df, threshold, seen), {"seen": new}
-        return dr._mark_firsts(df, new), {"seen": new}
+        return dr.mark_firsts(df, new), {"seen": new}
 
     return StreamStep(step, ["seen"])

@@ -16,12 +16,12 @@ from test_ordered import random_lines, table
 
 @pytest.fixture(scope="module")
 def parts(spark, tmp_path_factory):
-    """A table as four files, each one micro-batch, and the table itself."""
-    lines = random_lines(11, 80)
+    """A table as three files, each one micro-batch, and the table itself."""
+    lines = random_lines(11, 75)
     folder = str(tmp_path_factory.mktemp("stream"))
-    for i in range(4):
+    for i in range(3):
         name = os.path.join(folder, f"part{i}")
-        table(spark, lines[i * 20 : (i + 1) * 20]).coalesce(1).write.parquet(name)
+        table(spark, lines[i * 25 : (i + 1) * 25]).coalesce(1).write.parquet(name)
         file = next(f for f in os.listdir(name) if f.endswith(".parquet"))
         target = os.path.join(folder, f"{i}.parquet")
         os.link(os.path.join(name, file), target)
@@ -94,7 +94,7 @@ def test_last_n(spark, parts, tmp_path):
     stateful.run(
         read(spark, parts), step.step, output=f"{base}/out", state=f"{base}/state", checkpoint=f"{base}/cp", names=step.names
     ).awaitTermination()
-    newest = spark.read.parquet(f"{base}/out").filter("batch = 3").drop("batch")
+    newest = spark.read.parquet(f"{base}/out").filter("batch = 2").drop("batch")
     assert rows(newest) == rows(od.last_n(parts[1], 4))
 
 
@@ -102,7 +102,7 @@ def test_a_batch_run_again_changes_nothing(spark, parts, tmp_path):
     """The commit of the last batch is lost, as after a crash, and the query starts again."""
     base, step = str(tmp_path), steps.drift()
     first = rows(run(spark, parts, step, base))
-    for name in ("3", ".3.crc"):
+    for name in ("2", ".2.crc"):
         os.remove(os.path.join(base, "cp", "commits", name))
     assert rows(run(spark, parts, step, base)) == first
 
@@ -140,7 +140,7 @@ def test_line_counts_and_top(spark, parts, tmp_path):
     assert rows(spark.table("line_counts_t")) == rows(ag.line_counts(parts[1]))
     base = str(tmp_path)
     windows.top_lines(read(spark, parts), 2, output=f"{base}/out", checkpoint=f"{base}/cp").awaitTermination()
-    newest = spark.read.parquet(f"{base}/out").filter("batch = 3").drop("batch")
+    newest = spark.read.parquet(f"{base}/out").filter("batch = 2").drop("batch")
     assert rows(newest) == rows(ag.top_lines(parts[1], 2))
 
 
