@@ -38,9 +38,10 @@ def normal_form(text: Column) -> Column:
 
 def byte_bigrams(text: Column) -> Column:
     """Array with the hexadecimal form of each pair of neighbouring bytes, in order."""
-    code = F.hex(F.encode(text, "UTF-8"))
+    # One pass cuts the text into bytes; looking each pair up by its place would rescan the text.
+    code = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
     pairs = F.octet_length(text) - F.lit(1)
-    grams = F.transform(F.sequence(F.lit(1), pairs), lambda i: F.substring(code, i * 2 - 1, F.lit(4)))
+    grams = F.zip_with(F.slice(code, F.lit(1), pairs), F.slice(code, F.lit(2), pairs), F.concat)
     return F.when(pairs >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 

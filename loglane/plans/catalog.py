@@ -491,10 +491,10 @@ simple(
 simple(
     "batch_interval", v.logs, lambda df: _flat(gr.batches(df, 40, "2 hours", block_rows=1000)),
     """WITH RECURSIVE l AS (SELECT seq, ts, row_number() OVER (ORDER BY seq) AS r FROM logs),
-        nxt AS (SELECT a.r, least(a.r + 40, coalesce(b.r, a.r + 40)) AS n
-                FROM l a ASOF LEFT JOIN l b ON a.ts + INTERVAL 2 HOUR <= b.ts),
-        starts(r) AS (SELECT 1::BIGINT UNION ALL SELECT nxt.n FROM starts JOIN nxt ON nxt.r = starts.r WHERE nxt.n <= (SELECT count(*) FROM logs)),
-        m AS (SELECT l.seq, s.r AS batch_id FROM l ASOF JOIN starts s ON s.r <= l.r)
+        nxt AS MATERIALIZED (SELECT r, r + least(40, count(*) OVER (ORDER BY ts
+                RANGE BETWEEN CURRENT ROW AND INTERVAL 7199999999 MICROSECOND FOLLOWING)) AS n FROM l),
+        starts(r) AS (SELECT 1::BIGINT UNION ALL SELECT nxt.n FROM starts JOIN nxt ON nxt.r = starts.r),
+        m AS (SELECT l.seq, max(s.r) OVER (ORDER BY l.r) AS batch_id FROM l LEFT JOIN starts s ON s.r = l.r)
         SELECT batch_id, count(*) AS n, string_agg(seq, ',' ORDER BY seq) AS seqs FROM m GROUP BY 1""",
 )
 _PACE = """WITH p AS (SELECT seq, service, epoch_us(ts) AS us, row_number() OVER ({0} ORDER BY seq) AS r FROM {1}),

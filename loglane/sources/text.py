@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,25 +94,24 @@ def stream_logs(
     spark: SparkSession,
     sources: Mapping[str, str],
     *,
-    start: str = "earliest",
+    start: datetime | None = None,
     max_files_per_trigger: int | None = None,
     ts: Column | None = None,
 ) -> DataFrame:
     """The same as a stream: each new file in a source's folder arrives once.
 
     Columns ``service, text, ts`` and ``place`` (the file and split of the line);
-    ``streaming.stateful`` numbers the lines. ``start='latest'`` skips files older than now.
+    ``streaming.stateful`` numbers the lines. ``start`` skips files last written before it; give
+    the same value when the query is started again.
     """
-    if start not in ("earliest", "latest"):
-        raise ValueError(f"start must be 'earliest' or 'latest', got {start!r}")
     parts = []
     for service, path in _check(sources):
         reader = spark.readStream.format("text").option("lineSep", "\n")
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        if start == "latest":
-            reader = reader.option("modifiedAfter", _now(spark))
         lines = reader.load(path)
+        if start is not None:
+            lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(start))
         place = F.struct(
             F.col("_metadata.file_modification_time").alias("modified"),
             F.col("_metadata.file_path").alias("path"),
@@ -126,7 +126,3 @@ def stream_logs(
             )
         )
     return merge(*parts)
-
-
-def _now(spark: SparkSession) -> str:
-    return spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
