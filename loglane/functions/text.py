@@ -41,7 +41,7 @@ def byte_bigrams(text: Column) -> Column:
     # One pass cuts the text into bytes; looking each pair up by its place would rescan the text.
     code = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
     pairs = F.octet_length(text) - F.lit(1)
-    grams = F.zip_with(F.slice(code, F.lit(1), pairs), F.slice(code, F.lit(2), pairs), F.concat)
+    grams = F.zip_with(F.slice(code, F.lit(1), pairs), F.slice(code, F.lit(2), pairs), lambda x, y: F.concat(x, y))
     return F.when(pairs >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
