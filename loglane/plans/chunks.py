@@ -141,7 +141,8 @@ def add_chunks(df: DataFrame, order: list[str], chunks: int | None = None) -> Da
         out = Bucketizer(splits=splits, inputCol=k, outputCol=b).transform(
             out.withColumn(k, key_col)
         )
-        bucket = F.col(b).cast("bigint")
+        # Never null; saying so saves the join a filter that would compute it twice.
+        bucket = F.coalesce(F.col(b).cast("bigint"), F.lit(0))
         chunk = chunk * F.lit(len(bounds) + 1) + F.when(in_tie, bucket).otherwise(F.lit(0))
         if not len(hot) or level + 1 == len(order):
             break
