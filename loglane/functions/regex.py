@@ -31,10 +31,9 @@ POSIX_CLASSES = {
     "xdigit": r"\p{XDigit}",
 }
 
-# Java's own \b knows more letters than ASCII.
-_WORD = "[0-9A-Za-z_]"
-_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-_NO_EDGE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
+# Java's own \b knows more letters than ASCII; its \w does not.
+_EDGE = r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
+_NO_EDGE = r"(?:(?=\w)(?<=\w)|(?!\w)(?<!\w))"
 
 _REPEAT = re.compile(r"\{(\d+)(,(\d*))?\}")
 _POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
