@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loglane.llm import jaccard, mixing
 from loglane.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,10 @@ def query(name: str, sql: str | None = None):
 
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    from loglane.llm.jaccard import jaccard_components
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
 
-    return jaccard_components(table(spark, folder, "documents"))
+
+@query("op3_pareto_mix", mixing.SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, folder, "documents"))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
