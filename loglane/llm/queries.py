@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import jaccard, mixing
-from loglane.llm.shared import table
+from loglane.llm import jaccard, langid, mixing
+from loglane.llm.shared import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -35,3 +42,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.mixed(table(spark, folder, "documents"))
     return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learn = docs.filter(crc_mod("doc_id", 4) != 2)
+    rows = langid.identify(docs.select("doc_id", "text"), learn, tokenizer_file("piece_bpe_32k.model"))
+    return rows.select("row.doc_id", (crc_mod("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
