@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import jaccard, langid, mixing
-from loglane.llm.shared import crc_mod, table
+from loglane.llm import jaccard, langid, mixing, quality
+from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,3 +50,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     learn = docs.filter(crc_mod("doc_id", 4) != 2)
     rows = langid.identify(docs.select("doc_id", "text"), learn, tokenizer_file("piece_bpe_32k.model"))
     return rows.select("row.doc_id", (crc_mod("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    # The result needs no text, so the statistics are made once and read again.
+    rows = quality.with_statistics(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = store(rows.select("row.doc_id", "stats"), "stats")
+    learn = rows.join(labels.filter(crc_mod("doc_id", 5) != 0), "doc_id").select("stats", "label")
+    out = quality.scored(rows, quality.fit(learn)).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score")
+    return out.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
