@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import jaccard, langid, mixing, quality
+from loglane.llm import bpe, jaccard, langid, mixing, quality
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     learn = rows.join(labels.filter(crc_mod("doc_id", 5) != 0), "doc_id").select("stats", "label")
     out = quality.scored(rows, quality.fit(learn)).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score")
     return out.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    rows = bpe.encode_packed(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    return bpe.digests(rows, ranks).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
