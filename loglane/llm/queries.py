@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, jaccard, langid, mixing, quality
+from loglane.llm import bpe, dac, jaccard, langid, mixing, quality
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bpe.read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
     rows = bpe.encode_packed(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return bpe.digests(rows, ranks).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op5_token_codes")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return dac.checked(dac.written(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json")))
