@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -225,7 +226,7 @@ def _assembled(coded: DataFrame, row_type: T.DataType) -> DataFrame:
                     places.append(p)
                     found.append(x)
         docs = list(pa.ipc.open_stream(docs))
-        word = np.zeros(sum(pa.compute.sum(d.column(1)).as_py() for d in docs), np.int32)
+        word = np.zeros(sum(pc.sum(d.column(1)).as_py() for d in docs), np.int32)
         for k, p in enumerate(places):
             word[unpack(p)] = k
         del places

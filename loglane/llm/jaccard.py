@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,7 +203,7 @@ def token_table(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             tokens += [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         wanted = batch.column(batch.schema.get_field_index("wanted"))
         out = pa.table({"key": _signed(np.concatenate(keys)), "wanted": wanted, "tokens": pa.array(tokens, pa.binary())})
-        return out.filter(pa.compute.equal(out["key"], out["wanted"])).select(["key", "tokens"])
+        return out.filter(pc.equal(out["key"], out["wanted"])).select(["key", "tokens"])
 
     # A row without an id is found by its text.
     at = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64("text")))
