@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, dac, jaccard, langid, mixing, quality
+from loglane.llm import bpe, dac, jaccard, langid, mixing, neardup, quality
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_token_codes")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return dac.checked(dac.written(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+@query("op6_cross_polytope", neardup.SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "embeddings"))
