@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loglane.llm.shared import shared_folder, slices, texts_of
 
@@ -141,8 +140,9 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, bounds: list[in
     return rows.mapInArrow(fn, "bucket long, doc_id long, tie long, ids binary")
 
 
-SHARD = T.StructType.fromDDL(
-    "bucket long, shard long, n long, doc_id array<long>, ends array<long>, chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
+SHARD = (
+    "bucket long, shard long, n long, doc_id array<long>, ends array<long>, "
+    "chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
 )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, dac, jaccard, langid, mixing, neardup, quality
+from loglane.llm import bpe, dac, jaccard, langid, mixing, neardup, quality, rules
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_cross_polytope", neardup.SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op7_risk_rules", rules.SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = rules.judge(table(spark, folder, "documents").select("doc_id", "text"), labels)
+    return rows.select("row.doc_id", *rules.COLUMNS, "base_failed", "kept")
