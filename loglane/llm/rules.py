@@ -55,14 +55,14 @@ def counts(docs: DataFrame) -> DataFrame:
     window = F.transform(at, lambda x, i: F.xxhash64(x, *[F.get(F.col("words"), i + k) for k in range(1, WINDOW)]))
     df = df.withColumn("windows", window)
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    ordered = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("ordered", F.when(repeated, ordered)).drop("words", "windows")
 
     def twice(x: Column, k: Column) -> Column:
         before = F.when(k > 0, F.get(F.col("ordered"), k - 1)["h"])
         return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(F.get(F.col("ordered"), k + 1)["h"] == x["h"], F.lit(False))
 
-    places = F.array_sort(F.transform(F.filter("ordered", twice), lambda x: x["i"]))
+    places = F.sort_array(F.transform(F.filter("ordered", twice), lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(
         places, start,
