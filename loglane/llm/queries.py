@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, dac, jaccard, langid, mixing, neardup, quality, rules
+from loglane.llm import bpe, dac, html, jaccard, langid, mixing, neardup, quality, rules
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = rules.judge(table(spark, folder, "documents").select("doc_id", "text"), labels)
     return rows.select("row.doc_id", *rules.COLUMNS, "base_failed", "kept")
+
+
+@query("op2_html_density")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return rows.select("row.page_id", "row.url", "text", "n_chars")
