@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ from loglane.llm.shared import bytes_of, slices, texts_of
 # Words of a piece, about, and rows that a task sends at a time. A text is never split over pieces.
 PIECE_WORDS = 4_000_000
 SEND_ROWS = 20_000
+# Bytes up to which a word is merged by plain search, and the rank of pairs that never merge.
+SHORT = 64
+NEVER = 1 << 60
 # First byte of UTF-8 from which characters may be classed differently (U+0540 and above).
 FAR_BYTE = 0xD5
 
@@ -74,14 +78,26 @@ def library_pattern(pattern: str) -> str:
 
 
 def bpe(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: the adjacent pair of least rank is merged, leftmost first, until none has a rank.
-
-    A heap of candidate pairs over a linked list of parts keeps long words at n log n.
-    """
-    import heapq
-
+    """Ids of one word: the adjacent pair of least rank is merged, leftmost first, until none has a rank."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) > SHORT:
+        return _bpe_long(word, ranks)
+    get = ranks.get
+    cuts = list(range(len(word) + 1))
+    pairs = [get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) != NEVER:
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(word[cuts[i] : cuts[i + 2]], NEVER)
+        if i:
+            pairs[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], NEVER)
+    return [ranks[word[x:y]] for x, y in zip(cuts, cuts[1:])]  # noqa: B905
+
+
+def _bpe_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for long words at n log n: a heap of candidate pairs over a linked list of parts."""
     n = len(word)
     end = list(range(1, n + 1))
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -102,32 +118,39 @@ def bpe(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Rising numbers as differences of seven bits a byte, the last byte of each number below 128."""
-    gaps = np.diff(numbers, prepend=0).astype(np.uint32)
-    if not len(gaps) or gaps.max() < 128:
-        return gaps.astype(np.uint8).tobytes()
-    n = 1 + (gaps >= 1 << 7) + (gaps >= 1 << 14) + (gaps >= 1 << 21) + (gaps >= 1 << 28)
+def pack(numbers: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The numbers between consecutive cuts, rising in each run, as differences of seven bits a byte.
+
+    The last byte of each number is below 128. All runs are packed at once.
+    """
+    if not len(numbers):
+        return [b""] * (len(cuts) - 1)
+    gaps = np.diff(numbers, prepend=0)
+    first = cuts[:-1][cuts[:-1] < cuts[1:]]
+    gaps[first] = numbers[first]
+    n = 1 + sum((gaps >= 1 << (7 * k)).astype(np.int64) for k in range(1, 5))
     ends = np.cumsum(n)
     out = np.zeros(ends[-1], np.uint8)
     for k in range(int(n.max())):
-        has = n > k
-        out[ends[has] - 1 - k] = ((gaps[has] >> np.uint32(7 * k)) & np.uint32(127)) | np.uint32(128 if k else 0)
-    return out.tobytes()
+        has = np.flatnonzero(n > k)
+        out[ends[has] - 1 - k] = ((gaps[has] >> (7 * k)) & 127) | (128 if k else 0)
+    raw, at = out.tobytes(), np.concatenate(([0], ends))[cuts].tolist()
+    return [raw[x:y] for x, y in zip(at, at[1:])]  # noqa: B905
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8)
-    if not len(raw) or raw.max() < 128:
-        return np.cumsum(raw, dtype=np.int64)
+def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the packed runs, and where each run begins in them; the last is the end."""
+    raw = np.frombuffer(b"".join(packed), np.uint8)
     last = np.flatnonzero(raw < 128)
-    first = np.concatenate(([0], last[:-1] + 1))
+    first = np.concatenate((np.zeros(min(1, len(last)), np.int64), last[:-1] + 1))
     gaps = np.zeros(len(last), np.int64)
-    for k in range(int((last - first).max()) + 1):
-        at = first + k
-        ok = at <= last
-        gaps[ok] = (gaps[ok] << 7) | (raw[at[ok]] & 127)
-    return np.cumsum(gaps)
+    for k in range(int((last - first).max(initial=0)) + 1):
+        has = np.flatnonzero(last - first >= k)
+        gaps[has] = (gaps[has] << 7) | (raw[first[has] + k] & 127)
+    bytes_of_run = np.fromiter(map(len, packed), np.int64, len(packed))
+    cuts = np.searchsorted(last, np.concatenate(([0], np.cumsum(bytes_of_run))))
+    sums = np.concatenate(([0], np.cumsum(gaps)))
+    return sums[1:] - np.repeat(sums[cuts[:-1]], np.diff(cuts)), cuts
 
 
 def _words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -152,7 +175,7 @@ def _words(docs: DataFrame, pattern: str) -> DataFrame:
             order = np.argsort(numbers, kind="stable")
             cuts = np.searchsorted(numbers[order], np.arange(len(known) + 1))
             del numbers
-            places = [pack(order[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            places = pack(order, cuts)
             names = [w.encode() for w in known]
             piece = (task << 32) + done
             known, held, size, done = {}, [], 0, done + 1
@@ -227,9 +250,9 @@ def _assembled(coded: DataFrame, row_type: T.DataType) -> DataFrame:
                     found.append(x)
         docs = list(pa.ipc.open_stream(docs))
         word = np.zeros(sum(pc.sum(d.column(1)).as_py() for d in docs), np.int32)
-        for k, p in enumerate(places):
-            word[unpack(p)] = k
-        del places
+        where, cuts = unpack(places)
+        word[where] = np.repeat(np.arange(len(places), dtype=np.int32), np.diff(cuts))
+        del places, where, cuts
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(found), np.uint32)
