@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, dac, html, jaccard, langid, mixing, neardup, quality, rules
+from loglane.llm import bpe, dac, html, jaccard, langid, mixing, mlm, neardup, quality, rules
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     rows = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return rows.select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query("op8_masked_lm")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mlm.pseudo_likelihood(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_tokens", "log_likelihood", "score")
