@@ -28,8 +28,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglane.llm.components import components
 from loglane.llm.shared import (
@@ -124,8 +125,13 @@ def _tasks(docs: DataFrame) -> int:
     return docs.rdd.getNumPartitions()
 
 
+def _address() -> Column:
+    """By which a row is found again: its id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64("text"))).alias("at")
+
+
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, key`` of every row; the key of an empty set is null."""
+    """``doc_id, at, n_shingles, key`` of every row; the key of an empty set is null."""
 
     def fn(batch: pa.RecordBatch) -> pa.Table:
         texts, n, keys = texts_of(batch, "text"), [], []
@@ -135,10 +141,11 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
             keys.append(keys_of(values, cuts))
         n, keys = np.concatenate(n), np.concatenate(keys)
         key = pa.array(keys.view(np.int64), mask=n == 0)
-        return pa.table({"doc_id": batch.column(0), "n_shingles": pa.array(n.astype(np.int64)), "key": key})
+        return pa.table({"doc_id": batch.column(0), "at": batch.column(1), "n_shingles": pa.array(n.astype(np.int64)), "key": key})
 
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(in_batches(fn, ""), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, key long")
+    docs = docs.select("doc_id", _address(), F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(in_batches(fn, ""), f"doc_id {kind}, at string, n_shingles long, key long")
 
 
 def shared_segments(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,9 +212,7 @@ def token_table(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
         out = pa.table({"key": _signed(np.concatenate(keys)), "wanted": wanted, "tokens": pa.array(tokens, pa.binary())})
         return out.filter(pc.equal(out["key"], out["wanted"])).select(["key", "tokens"])
 
-    # A row without an id is found by its text.
-    at = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.xxhash64("text")))
-    docs = docs.select(F.col("text").cast("string").alias("text"), at.alias("at"))
+    docs = docs.select(F.col("text").cast("string").alias("text"), _address())
     rows = docs.join(classes.select("at", F.col("key").alias("wanted")), "at").select("wanted", "text")
     return rows.mapInArrow(in_batches(fn, ""), "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
@@ -350,35 +355,50 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     ``doc_id`` keeps null unless its component has an id. An empty table gives an empty result. Texts may be of any
     length. Below 50 percent the segments would be too small to be selective, so that is refused.
     """
+    return _found(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the least id, all columns.
+
+    Rows without shingles all stay. Of several rows with that id, one stays. Texts are shuffled once, by id.
+    """
+    rows = _found(docs, width, percent).filter("key is null or doc_id <=> component_id")
+    win = rows.groupBy("at").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("key").isNotNull()).alias("words"))
+    win = store(win, "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, _address()).join(win, "at")
+    again = win.filter("rows > 1 and words")
+    if not again.isEmpty():
+        # Rows of one id that are copies of each other, or that belong to different components.
+        def fn(batch: pa.RecordBatch) -> pa.Table:
+            texts, keys = texts_of(batch, "text"), []
+            for at, to in slices(texts):
+                values, cuts = shingle_sets(*bytes_of(texts, at, to), width)
+                keys.append(np.where(np.diff(cuts) > 0, keys_of(values, cuts).view(np.int64), 0))
+            return pa.table({"row": batch.column(0), "at": batch.column(1), "key": pa.array(np.concatenate(keys))})
+
+        one = out.filter("rows > 1 and words").select("row", "at", F.col("row.text").cast("string").alias("text"))
+        schema = T.StructType([one.schema["row"], one.schema["at"], T.StructField("key", T.LongType())])
+        roots = rows.select("at", "key", "root").distinct()
+        one = store(one.mapInArrow(in_batches(fn, ""), schema), "repeated")
+        bare = one.filter("key = 0").select("row")
+        one = one.join(roots, ["at", "key"]).groupBy("at", "root").agg(F.first("row").alias("row")).select("row")
+        out = out.filter("not (rows > 1 and words)").select("row").unionByName(bare).unionByName(one)
+    return out.select("row.*")
+
+
+def _found(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, at, n_shingles, key, root, component_id`` of every row."""
     if not 50 <= percent < 100 or width < 1:
         raise ValueError("width must be positive and percent from 50 to 99")
     docs = docs.select("doc_id", "text")
     found = store(sets(docs, width), "sets")
-    # Ids are compared as they are; a class whose rows have no id at all is found by its text.
-    reps = found.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    nameless = reps.filter("least is null")
-    at = F.col("least").cast("string").alias("at")
-    named = reps.filter("least is not null").select("key", at)
-    if not nameless.isEmpty():
-        by_text = docs.filter("doc_id is null").select("doc_id", "text", F.concat(F.lit("?"), F.xxhash64("text")).alias("at"))
-        pairs = _keys_with(by_text, width)
-        named = named.unionByName(pairs.join(nameless, "key", "left_semi").groupBy("key").agg(F.min("at").alias("at")))
-    comps = class_links(docs, named, width, percent)
-    whole = reps.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    reps = found.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("at").alias("at"))
+    comps = class_links(docs, reps.select("key", "at"), width, percent)
+    whole = reps.drop("at").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = whole.join(least, "root").select("key", "component_id")
+    whole = whole.join(least, "root").select("key", "root", "component_id")
     out = found.join(whole, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
-
-
-def _keys_with(docs: DataFrame, width: int) -> DataFrame:
-    """``key, at`` of the rows without an id."""
-
-    def fn(batch: pa.RecordBatch) -> pa.Table:
-        texts, keys = texts_of(batch, "text"), []
-        for at, to in slices(texts):
-            keys.append(keys_of(*shingle_sets(*bytes_of(texts, at, to), width)))
-        return pa.table({"key": _signed(np.concatenate(keys)), "at": batch.column(batch.schema.get_field_index("at"))})
-
-    return docs.select("text", "at").mapInArrow(in_batches(fn, ""), "key long, at string")
+    return out.select("doc_id", "at", "n_shingles", "key", "root", component.alias("component_id"))
