@@ -402,3 +402,21 @@ def _found(docs: DataFrame, width: int, percent: int) -> DataFrame:
     out = found.join(whole, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "at", "n_shingles", "key", "root", component.alias("component_id"))
+
+
+# The query's result in SQL, by all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)])) END AS s FROM words),
+  classes AS (SELECT s, min(doc_id) AS least, row_number() OVER () AS c FROM sets WHERE len(s) > 0 GROUP BY s),
+  tokens AS (SELECT c, len(s) AS n, unnest(s) AS t FROM classes),
+  common AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS k FROM tokens a JOIN tokens b
+    ON a.t = b.t AND a.c <> b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.c, b.c),
+  links AS (SELECT a, b FROM common WHERE 100 * k >= 90 * (x + y - k)),
+  reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+  root AS (SELECT r.a AS c, min(k.least) AS component_id FROM reach r JOIN classes k ON r.b = k.c GROUP BY r.a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND sets.s = classes.s LEFT JOIN root USING (c)
+"""

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", jaccard.SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
