@@ -3,8 +3,8 @@
 Each page is read into a tree. Elements that are never article text (scripts, forms, menus, adverts and the like, by tag,
 role or class) are set aside. Every other node gets its composite density: characters per tag, adjusted by how much
 of it is links and by the page's own share of links. The subtree with the largest sum of its children's densities
-is selected. The least density on its path from the body is the threshold: branches off that path that reach it belong
-to the text as well. A selection inside an ``article`` or ``main`` element takes that element.
+is selected. The least density on its path from the body is the threshold: branches off that path with a node that
+reaches it belong to the text as well. A selection inside an ``article`` or ``main`` element takes that element.
 """
 
 from __future__ import annotations
@@ -205,9 +205,13 @@ class Page:
             keep[home] = True
         else:
             keep[best] = True
-            # Branches off the path below the body's own level.
+            # Branches off the path, below the body's own level, that hold a node of at least this density.
+            peak = list(density)
+            for i in range(n - 1, 0, -1):
+                peak[parents[i]] = max(peak[parents[i]], peak[i])
+            on_path = set(path)
             for i in range(n):
-                if parents[i] in path[1:] and parents[i] != body and i not in path and density[i] >= threshold > 0:
+                if i not in on_path and parents[i] in on_path and parents[i] != body and peak[i] >= threshold > 0:
                     keep[i] = True
         for i in range(1, n):
             keep[i] = (keep[i] or (parents[i] >= 0 and keep[parents[i]])) and not aside[i]
