@@ -38,23 +38,50 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Pieces:
-    """The vocabulary as sorted hashes; the last id stands for any single character that is no piece."""
+    """The vocabulary as hashes in open slots; the last id stands for any single character that is no piece.
 
-    hashes: np.ndarray
-    ids: np.ndarray
+    A hash has one slot in each table, by bits of its own; what a slot taken before turns away lies in the next.
+    """
+
+    keys: list[np.ndarray]
+    ids: list[np.ndarray]
     longest: int
     size: int
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of hashes, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        for level, (keys, ids) in enumerate(zip(self.keys, self.ids, strict=True)):
+            slot = _slot(hashes, level)
+            np.copyto(out, ids[slot], where=keys[slot] == hashes)
+        return out
+
+
+SLOT_BITS = 17
+
+
+def _slot(hashes: np.ndarray, level: int) -> np.ndarray:
+    return ((hashes >> np.uint64(64 - SLOT_BITS - 11 * level)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
 
 def vocabulary(model_file: str) -> Pieces:
     """The pieces of a sentencepiece model file, without its control and byte pieces."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    names = [(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    keys = np.array([_hash(p) for _, p in names], np.uint64)
-    order = np.argsort(keys)
-    return Pieces(keys[order], np.array([i for i, _ in names])[order], max(len(p) for _, p in names), sp.get_piece_size() + 1)
+    special = (sp.is_control, sp.is_unknown, sp.is_byte, sp.is_unused)
+    names = [(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not any(is_special(i) for is_special in special)]
+    left = (np.array([_hash(p) for _, p in names], np.uint64), np.array([i for i, _ in names], np.int64))
+    keys, ids = [], []
+    while len(left[0]):
+        slots, first = np.unique(_slot(left[0], len(keys)), return_index=True)
+        keys.append(np.zeros(1 << SLOT_BITS, np.uint64))
+        ids.append(np.full(1 << SLOT_BITS, -1, np.int64))
+        keys[-1][slots], ids[-1][slots] = left[0][first], left[1][first]
+        left = tuple(np.delete(x, first) for x in left)
+        if len(keys) > 5:
+            raise ValueError("too many pieces for the slots")
+    return Pieces(keys, ids, max(len(p) for _, p in names), sp.get_piece_size() + 1)
 
 
 def _hash(piece: str) -> int:
@@ -64,48 +91,57 @@ def _hash(piece: str) -> int:
     return h
 
 
-def parts_of(text: str) -> list[str]:
-    """Lower-case runs of letters, with the mark of a word's beginning, in parts of bounded length."""
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        w = MARK + w
-        out += [w] if len(w) <= PART else [w[i : i + PART] for i in range(0, len(w), PART)]
-    return out
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters."""
+    return LETTERS.findall(text.lower())
+
+
+def parts_of(word: str) -> list[str]:
+    """The word with the mark of its beginning, in parts of bounded length."""
+    word = MARK + word
+    return [word] if len(word) <= PART else [word[i : i + PART] for i in range(0, len(word), PART)]
 
 
-def _by_length(words: list[str]):
-    """Indexes and code points of the words of each length."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        for few in np.array_split(at, -(-len(at) // 4096)):
-            joined = "".join([words[i] for i in few.tolist()])
-            yield few, np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(len(few), int(n)).astype(np.uint64)
+def _all_parts(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The parts of all words, and the number of the word of each."""
+    parts = [parts_of(w) for w in words]
+    return [p for few in parts for p in few], np.repeat(np.arange(len(words)), [len(p) for p in parts])
+
+
+def _by_length(parts: list[str]):
+    """Indexes and code points (places x parts) of the parts of each length, some thousand at a time."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for at in range(a, b, 4096):
+            few = order[at : min(at + 4096, b)]
+            codes = np.frombuffer("".join([parts[i] for i in few.tolist()]).encode("utf-32-le"), np.uint32)
+            yield few, np.ascontiguousarray(codes.reshape(len(few), -1).T).astype(np.uint64)
 
 
 def _spans(codes: np.ndarray, pieces: Pieces):
-    """``(i, j, id)`` with the piece id of characters i to j of every word, or -1, for all spans with a piece."""
-    n = codes.shape[1]
+    """``(i, j, id)`` with the piece id of characters i to j of every part, or -1, for all spans with a piece."""
+    n, m = codes.shape
     for i in range(n):
-        h = np.zeros(len(codes), np.uint64)
+        h = np.zeros(m, np.uint64)
         for j in range(i + 1, min(n, i + pieces.longest) + 1):
             with np.errstate(over="ignore"):
-                h = (h + codes[:, j - 1] + np.uint64(1)) * HASH_BASE
-            at = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
-            found = np.where(pieces.hashes[at] == h, pieces.ids[at], -1)
+                h = (h + codes[j - 1] + np.uint64(1)) * HASH_BASE
+            found = pieces.find(h)
             if j == i + 1:
-                found = np.where(found < 0, pieces.size - 1, found)
-            elif not (found >= 0).any():
+                found[found < 0] = pieces.size - 1
+            elif found.max() < 0:
                 continue
             yield i, j, found
 
 
 def _forward(codes: np.ndarray, spans: list, table: np.ndarray) -> np.ndarray:
-    """Scaled forward sums, words x places x languages; ``table`` has a last row of zeros for id -1."""
-    alpha = np.zeros((len(codes), codes.shape[1] + 1, table.shape[1]))
-    alpha[:, 0] = 1.0
+    """Scaled forward sums, places x parts x languages; ``table`` has a last row of zeros for id -1."""
+    alpha = np.zeros((len(codes) + 1, codes.shape[1], table.shape[1]))
+    alpha[0] = 1.0
     for i, j, found in spans:
-        alpha[:, j] += alpha[:, i] * table[found] * SCALE ** (j - i)
+        alpha[j] += alpha[i] * table[found] * SCALE ** (j - i)
     return alpha
 
 
@@ -115,34 +151,42 @@ def _padded(probabilities: np.ndarray) -> np.ndarray:
 
 def word_scores(words: list[str], pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language, summed over all segmentations."""
-    out, table = np.zeros((len(words), probabilities.shape[1])), _padded(probabilities)
-    for at, codes in _by_length(words):
+    parts, owner = _all_parts(words)
+    found, table = np.zeros((len(parts), probabilities.shape[1])), _padded(probabilities)
+    for at, codes in _by_length(parts):
         alpha = _forward(codes, list(_spans(codes, pieces)), table)
-        out[at] = np.log(alpha[:, -1]) - codes.shape[1] * np.log(SCALE)
+        found[at] = np.log(alpha[-1]) - len(codes) * np.log(SCALE)
+    if len(parts) == len(words):
+        return found
+    out = np.zeros((len(words), probabilities.shape[1]))
+    np.add.at(out, owner, found)
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in each language, over all segmentations of the counted words."""
-    out, table = np.zeros((pieces.size, probabilities.shape[1])), _padded(probabilities)
-    for at, codes in _by_length(words):
+    """Expected uses of each piece in one language, over all segmentations of the counted words."""
+    parts, owner = _all_parts(words)
+    counts = counts[owner]
+    out, table = np.zeros(pieces.size + 1), _padded(probabilities[:, None])
+    for at, codes in _by_length(parts):
         spans = list(_spans(codes, pieces))
-        alpha = _forward(codes, spans, table)
+        alpha = _forward(codes, spans, table)[:, :, 0]
         beta = np.zeros_like(alpha)
-        beta[:, -1] = 1.0
+        beta[-1] = counts[at] / alpha[-1]
+        ids, uses = [], []
         for i, j, found in reversed(spans):
-            beta[:, i] += beta[:, j] * table[found] * SCALE ** (j - i)
-        weight = counts[at] / alpha[:, -1]
-        for i, j, found in spans:
-            hit = found >= 0
-            use = alpha[hit, i] * beta[hit, j] * table[found[hit]] * SCALE ** (j - i) * weight[hit]
-            for k in range(out.shape[1]):
-                out[:, k] += np.bincount(found[hit], use[:, k], minlength=pieces.size)
-    return out
+            back = beta[j] * table[found, 0] * SCALE ** (j - i)
+            beta[i] += back
+            ids.append(found)
+            uses.append(alpha[i] * back)
+        # Id -1 has no uses; it counts at the end.
+        ids = np.concatenate(ids)
+        out += np.bincount(np.where(ids < 0, pieces.size, ids), np.concatenate(uses), minlength=pieces.size + 1)
+    return out[:-1]
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, word, n``: how often each part occurs in the texts of each language."""
+    """``lang, word, n``: how often each word occurs in the texts of each language."""
 
     def fn(batches):
         held: dict[str, Counter] = {}
@@ -157,7 +201,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             texts, langs = texts_of(batch, "text"), batch.column(batch.schema.get_field_index("lang"))
             for at, to in slices(texts):
                 for text, lang in zip(texts[at:to].to_pylist(), langs[at:to].to_pylist(), strict=True):
-                    held.setdefault(lang, Counter()).update(parts_of(text))
+                    held.setdefault(lang, Counter()).update(words_of(text))
                 if sum(map(len, held.values())) > GATHER:
                     yield flush()
         if any(held.values()):
@@ -197,7 +241,7 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Model:
                 words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
                 for k in np.unique(names):
                     at = np.flatnonzero(names == k)
-                    sums[:, k] += expected_counts([words[i] for i in at], counts[at], vocab, table[:, k : k + 1])[:, 0]
+                    sums[:, k] += expected_counts([words[i] for i in at], counts[at], vocab, table[:, k])
             at = np.nonzero(sums)
             if len(at[0]):
                 yield pa.record_batch({"piece": pa.array(at[0]), "lang": pa.array(at[1]), "n": pa.array(sums[at])})
@@ -231,15 +275,15 @@ def predict(docs: DataFrame, pieces: Pieces, model: Model, prior: float = 0.0) -
         for batch in batches:
             texts, best, share = texts_of(batch, "text"), [], []
             for at, to in slices(texts):
-                docs_parts = [parts_of(t) for t in texts[at:to].to_pylist()] if model.languages else [[]] * (to - at)
+                docs_words = [words_of(t) for t in texts[at:to].to_pylist()] if model.languages else [[]] * (to - at)
                 if len(known) > REMEMBER:
                     known.clear()
                     scores = scores[:0]
-                fresh = list(dict.fromkeys(w for p in docs_parts for w in p if w not in known))
+                fresh = sorted(set().union(*docs_words).difference(known))
                 if fresh:
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     scores = np.vstack((scores, word_scores(fresh, vocab, model.probabilities)))
-                for p in docs_parts:
+                for p in docs_words:
                     if not p:
                         best.append(len(model.languages))
                         share.append(0.0)
