@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts are split into words (the pattern's matches). A task gathers its documents into *pieces* of a bounded number
-of words; each distinct word of a piece becomes one row with its positions in the piece, packed. The rows are
-shuffled by word, so that every distinct word of the corpus is encoded once and its ids join all rows of the word,
-and each piece is put together again by position. A frequent word has one row per piece, however often it
-occurs, so no word makes a hot task. Decoding looks ids up in the table of token bytes, whose size is fixed.
+of words and numbers each piece's distinct words; the words' positions stay with the piece, as numbers in order. The
+distinct words of all pieces are shuffled by word, so that every distinct word of the corpus is encoded once; the ids go
+back to the pieces that have the word, and the documents are put together again by position. A frequent word
+is one entry per piece, however often it occurs, so no word makes a hot task. Words and ids travel in rows of
+many, one for each piece and bucket of words, compressed. Decoding looks ids up in the table of token bytes, whose
+size is fixed.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglane.llm.shared import bytes_of, slices, texts_of
+from loglane.llm.shared import bytes_of, slices, store, texts_of
 
 # Words of a piece, about, and rows that a task sends at a time. A text is never split over pieces.
 PIECE_WORDS = 4_000_000
-SEND_ROWS = 20_000
+SEND_ROWS = 2_000
+LEAST_BUCKETS = 64
 # Bytes up to which a word is merged by plain search, and the rank of pairs that never merge.
 SHORT = 64
 NEVER = 1 << 60
@@ -153,12 +157,21 @@ def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return sums[1:] - np.repeat(sums[cuts[:-1]], np.diff(cuts)), cuts
 
 
-def _words(docs: DataFrame, pattern: str) -> DataFrame:
-    """``piece, word, places`` from ``row, text``; the one row of a piece without a word carries its documents.
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
 
-    That row holds, as an arrow stream, ``row`` of each document and how many words it has.
-    """
 
+def _pieces(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """``piece, bucket, numbers, content`` from ``row, text``.
+
+    In each piece words are numbered by falling frequency. One row, of bucket -1, has the numbers of the piece's words
+    one after the other (a plane for each byte) and as an arrow stream ``row`` and the words of each document. For each
+    bucket of words a row has the numbers and the words that the piece has in it.
+    """
     full = docs.sparkSession.sparkContext.broadcast(library_pattern(pattern))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,23 +184,33 @@ def _words(docs: DataFrame, pattern: str) -> DataFrame:
 
         def flush():
             nonlocal known, held, rows, size, done
-            numbers = np.concatenate(held)
-            order = np.argsort(numbers, kind="stable")
-            cuts = np.searchsorted(numbers[order], np.arange(len(known) + 1))
-            del numbers
-            places = pack(order, cuts)
-            names = [w.encode() for w in known]
-            piece = (task << 32) + done
-            known, held, size, done = {}, [], 0, done + 1
-            for a in range(0, len(names), SEND_ROWS):
-                few = names[a : a + SEND_ROWS]
-                yield pa.record_batch({"piece": pa.array([piece] * len(few)), "word": pa.array(few, pa.binary()), "places": pa.array(places[a : a + SEND_ROWS], pa.binary())})
+            order = np.concatenate(held)
+            held, size = [], 0
+            by_use = np.argsort(-np.bincount(order, minlength=len(known)), kind="stable")
+            number = np.empty(len(known), np.int32)
+            number[by_use] = np.arange(len(known), dtype=np.int32)
+            planes = max(1, (len(known).bit_length() + 7) // 8)
+            line = number[order].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :planes].T.tobytes()
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, rows[0].schema) as stream:
                 for r in rows:
                     stream.write_batch(r)
-            rows = []
-            yield pa.record_batch({"piece": pa.array([piece]), "word": pa.array([None], pa.binary()), "places": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+            names = [w.encode() for w in known]
+            names = [names[i] for i in by_use.tolist()]
+            bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % buckets
+            dealt = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[dealt], prepend=-1, append=-1))
+            numbers = pack(dealt, cuts) if len(names) else []
+            content = []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                few = [names[i] for i in dealt[x:y].tolist()]
+                content.append(_squeeze(np.fromiter(map(len, few), "<u4", len(few)).tobytes() + b"".join(few)))
+            piece = (task << 32) + done
+            known, rows, done = {}, [], done + 1
+            yield _piece_rows([piece], [-1], [_squeeze(line)], [_squeeze(out.getvalue().to_pybytes())])
+            for x in range(0, len(content), SEND_ROWS):
+                y = min(x + SEND_ROWS, len(content))
+                yield _piece_rows([piece] * (y - x), bucket[dealt[cuts[x:y]]], numbers[x:y], content[x:y])
 
         for batch in batches:
             texts = texts_of(batch, "text")
@@ -209,54 +232,78 @@ def _words(docs: DataFrame, pattern: str) -> DataFrame:
         if rows:
             yield from flush()
 
-    return docs.mapInArrow(fn, "piece long, word binary, places binary")
+    return docs.mapInArrow(fn, PIECE)
+
+
+PIECE = "piece long, bucket long, numbers binary, content binary"
+
+
+def _piece_rows(piece, bucket, numbers, content) -> pa.RecordBatch:
+    return pa.record_batch({
+        "piece": pa.array(piece, pa.int64()), "bucket": pa.array(bucket, pa.int64()),
+        "numbers": pa.array(numbers, pa.binary()), "content": pa.array(content, pa.binary()),
+    })
 
 
 def _coded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The rows with ``ids`` in place of the word, each distinct word encoded once.
+    """The rows of words with their ids (how many of each, then all) in place of the words.
 
-    After the shuffle all rows of a word follow each other, so joining its ids back needs no second one.
+    All rows of a word meet in its bucket, which encodes each distinct word once and joins its ids to all of them.
     """
     shared = words.sparkSession.sparkContext.broadcast(ranks)
 
-    def fn(batches):
-        table, last, ids = shared.value, None, None
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = shared.value, {}
         for batch in batches:
-            out = []
-            for w in batch.column(1).to_pylist():
-                if w != last:
-                    last, ids = w, None if w is None else np.array(bpe(w, table), np.uint32).tobytes()
-                out.append(ids)
-            yield pa.record_batch({"piece": batch.column(0), "places": batch.column(2), "ids": pa.array(out, pa.binary())})
-
-    # Rows without a word are as many as pieces; the piece spreads them.
-    spread = F.when(F.col("word").isNull(), F.col("piece"))
-    rows = words.repartition("word", spread).sortWithinPartitions("word")
-    return rows.mapInArrow(fn, "piece long, places binary, ids binary")
-
-
-def _assembled(coded: DataFrame, row_type: T.DataType) -> DataFrame:
-    """``row, n_tokens, ids`` (packed, four bytes each) of each document."""
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for at in range(0, batch.num_rows, 256):
+                numbers, out = cols["numbers"][at : at + 256].to_pylist(), []
+                for packed, content in zip(numbers, cols["content"][at : at + 256].to_pylist(), strict=True):
+                    raw, n = _expand(content), sum(x < 128 for x in packed)
+                    ends = np.cumsum(np.frombuffer(raw, "<u4", n)).tolist()
+                    ids, begin, names = [], 4 * n, []
+                    for end in ends:
+                        names.append(raw[begin : 4 * n + end])
+                        begin = 4 * n + end
+                    for w in names:
+                        x = known.get(w)
+                        if x is None:
+                            x = known[w] = np.array(bpe(w, table), "<u4").tobytes()
+                        ids.append(x)
+                    out.append(_squeeze(np.fromiter(map(len, ids), "<u4", n).tobytes() + b"".join(ids)))
+                yield _piece_rows(cols["piece"][at : at + 256], cols["bucket"][at : at + 256], numbers, out)
+
+    return words.groupBy("bucket").applyInArrow(fn, PIECE)
+
+
+def _assembled(pieces: DataFrame, row_type: T.DataType) -> DataFrame:
+    """``row, n_tokens, packed`` (four bytes an id) of each document."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, found, docs = [], [], None
+        numbers, lengths, flat, line, docs = [], [], [], None, None
         for batch in batches:
-            names = batch.schema.names
-            for p, x in zip(batch.column(names.index("places")).to_pylist(), batch.column(names.index("ids")).to_pylist(), strict=True):
-                if x is None:
-                    docs = p
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for bucket, packed, content in zip(*(cols[c].to_pylist() for c in ("bucket", "numbers", "content")), strict=True):
+                raw = _expand(content)
+                if bucket < 0:
+                    line, docs = _expand(packed), list(pa.ipc.open_stream(raw))
                 else:
-                    places.append(p)
-                    found.append(x)
-        docs = list(pa.ipc.open_stream(docs))
-        word = np.zeros(sum(pc.sum(d.column(1)).as_py() for d in docs), np.int32)
-        where, cuts = unpack(places)
-        word[where] = np.repeat(np.arange(len(places), dtype=np.int32), np.diff(cuts))
-        del places, where, cuts
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        del found
+                    numbers.append(packed)
+                    n = sum(x < 128 for x in packed)
+                    lengths.append(np.frombuffer(raw, "<u4", n).astype(np.int64) // 4)
+                    flat.append(np.frombuffer(raw, "<u4", offset=4 * n))
+        total = sum(pc.sum(d.column(1)).as_py() for d in docs)
+        number = unpack(numbers)[0]
+        length, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        if len(number):
+            length[number] = sizes = np.concatenate(lengths)
+            begin[number] = np.cumsum(sizes) - sizes
+        flat = np.concatenate(flat) if flat else np.empty(0, np.uint32)
+        word = np.zeros((total, 4), np.uint8)
+        if total:
+            planes = np.frombuffer(line, np.uint8).reshape(-1, total)
+            word[:, : len(planes)] = planes.T
+        word = word.view("<i4").ravel()
         at = 0
         for d in docs:
             counts = d.column(1).to_numpy()
@@ -270,7 +317,7 @@ def _assembled(coded: DataFrame, row_type: T.DataType) -> DataFrame:
             yield pa.record_batch({"row": d.column(0), "n_tokens": pa.array(np.diff(cuts)), "packed": pa.array(blobs, pa.binary())})
 
     schema = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType()), T.StructField("packed", T.BinaryType())])
-    return coded.groupBy("piece").applyInArrow(fn, schema)
+    return pieces.groupBy("piece").applyInArrow(fn, schema)
 
 
 def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
@@ -283,7 +330,10 @@ def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep:
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(True).alias("none"))
     rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    return _assembled(_coded(_words(rows, pattern), ranks), rows.schema["row"].dataType)
+    # Read again twice; a bucket's words come from all pieces, so buckets follow the input's size.
+    pieces = store(_pieces(rows, pattern, max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions())), "pieces")
+    coded = _coded(pieces.filter("bucket >= 0"), ranks)
+    return _assembled(pieces.filter("bucket < 0").unionByName(coded), rows.schema["row"].dataType)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
