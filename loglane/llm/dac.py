@@ -80,6 +80,10 @@ def bounds_of(docs: DataFrame, buckets: int) -> list[int]:
     return sorted(got or [])
 
 
+# ASCII signs that end a word apart from it; an apostrophe may begin a piece of its own.
+SIGNS = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
+
+
 def _encoder(tokenizer_file: str):
     """Packed ids of the strings of a text between white space, each distinct one encoded once by the library."""
     import os
@@ -88,22 +92,30 @@ def _encoder(tokenizer_file: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    known: dict[bytes, int] = {}
-    ids: list[list[int]] = []
+    kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    known: dict[bytes, bytes] = {}
+
+    def by_library(words: list[bytes]) -> None:
+        found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        known.update(zip(words, [np.array(x.ids, kind).tobytes() for x in found], strict=True))
 
-    def encode(texts: list[bytes]) -> list[np.ndarray]:
-        nonlocal known, ids
+    def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > REMEMBER:
-            known, ids = {}, []
+            known.clear()
         # The library lower-cases, but finds special tokens before that.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        fresh = list(dict.fromkeys(w for ws in words for w in ws if w not in known))
-        if fresh:
-            known.update(zip(fresh, range(len(ids), len(ids) + len(fresh)), strict=True))
-            ids += [x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-        return [[i for w in ws for i in ids[known[w]]] for ws in words]
+        fresh = set().union(*words).difference(known)
+        # Signs after an ASCII letter or digit are encoded apart, as the library splits there.
+        parts = {}
+        for w in fresh:
+            core = w.rstrip(SIGNS)
+            if core and len(core) < len(w) and core[-1] < 128 and core[-1:].isalnum():
+                parts[w] = (core, w[len(core) :])
+        by_library(list((fresh.difference(parts)).union(*parts.values()).difference(known)) if parts else list(fresh))
+        known.update({w: known[a] + known[b] for w, (a, b) in parts.items()})
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
-    return encode
+    return encode, kind
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, bounds: list[int]) -> DataFrame:
@@ -118,14 +130,14 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, bounds: list[in
         cuts = np.array(shared.value, np.int64)
         places = np.unique(cuts)
         first, last = np.searchsorted(cuts, places, "left"), np.searchsorted(cuts, places, "right")
-        encode = _encoder(tokenizer_file)
+        encode, kind = _encoder(tokenizer_file)
+        # Small ids travel in two bytes.
+        end, wide = np.array([end_id], kind).tobytes(), b"" if kind is np.uint16 else b"\0"
         for batch in batches:
             texts, doc_ids = texts_of(batch, "text"), batch.column(0)
             for at, to in slices(texts):
                 raw = [t.encode() for t in texts[at:to].to_pylist()]
-                packed = [np.array([*x, end_id], np.uint32) for x in encode(raw)]
-                # Small ids travel in two bytes.
-                blobs = [x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else b"\0" + x.tobytes() for x in packed]
+                blobs = [wide + x + end for x in encode(raw)]
                 tie = np.fromiter((zlib.crc32(t) for t in raw), np.int64, len(raw))
                 mine = doc_ids[at:to].fill_null(-(1 << 63)).to_numpy()
                 bucket = np.searchsorted(cuts, mine, "right")
