@@ -23,14 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglane.llm.shared import bytes_of, slices, store, texts_of
 
 # Words of a piece, about, and rows that a task sends at a time. A text is never split over pieces.
-PIECE_WORDS = 4_000_000
+PIECE_WORDS = 2_000_000
 SEND_ROWS = 2_000
 LEAST_BUCKETS = 64
 # Bytes up to which a word is merged by plain search, and the rank of pairs that never merge.
@@ -276,20 +276,21 @@ def _coded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.groupBy("bucket").applyInArrow(fn, PIECE)
 
 
-def _assembled(pieces: DataFrame, row_type: T.DataType) -> DataFrame:
-    """``row, n_tokens, packed`` (four bytes an id) of each document."""
+def _assembled(pieces: DataFrame, row_type: T.DataType, packed: bool) -> DataFrame:
+    """``row, n_tokens`` of each document, and its ids ``packed`` (four bytes each) or as an array ``ids``."""
+    name, kind = ("packed", T.BinaryType()) if packed else ("ids", T.ArrayType(T.IntegerType()))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, lengths, flat, line, docs = [], [], [], None, None
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for bucket, packed, content in zip(*(cols[c].to_pylist() for c in ("bucket", "numbers", "content")), strict=True):
+            for bucket, places, content in zip(*(cols[c].to_pylist() for c in ("bucket", "numbers", "content")), strict=True):
                 raw = _expand(content)
                 if bucket < 0:
-                    line, docs = _expand(packed), list(pa.ipc.open_stream(raw))
+                    line, docs = _expand(places), list(pa.ipc.open_stream(raw))
                 else:
-                    numbers.append(packed)
-                    n = sum(x < 128 for x in packed)
+                    numbers.append(places)
+                    n = sum(x < 128 for x in places)
                     lengths.append(np.frombuffer(raw, "<u4", n).astype(np.int64) // 4)
                     flat.append(np.frombuffer(raw, "<u4", offset=4 * n))
         total = sum(pc.sum(d.column(1)).as_py() for d in docs)
@@ -313,14 +314,19 @@ def _assembled(pieces: DataFrame, row_type: T.DataType) -> DataFrame:
             ends = np.cumsum(n)
             ids = flat[np.repeat(begin[few] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
             cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-            blobs = [ids[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.record_batch({"row": d.column(0), "n_tokens": pa.array(np.diff(cuts)), "packed": pa.array(blobs, pa.binary())})
+            if packed:
+                found = pa.array([ids[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+            else:
+                found = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.record_batch({"row": d.column(0), "n_tokens": pa.array(np.diff(cuts)), name: found})
 
-    schema = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType()), T.StructField("packed", T.BinaryType())])
+    schema = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType()), T.StructField(name, kind)])
     return pieces.groupBy("piece").applyInArrow(fn, schema)
 
 
-def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
+def encode_packed(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None, packed: bool = True,
+) -> DataFrame:
     """``row`` (the columns ``keep`` of each document, else all but ``text``), ``n_tokens``, ``packed``.
 
     ``packed`` has the ids, four bytes each, little-endian. One row per row of ``docs``; repeated rows stay.
@@ -333,22 +339,12 @@ def encode_packed(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep:
     # Read again twice; a bucket's words come from all pieces, so buckets follow the input's size.
     pieces = store(_pieces(rows, pattern, max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions())), "pieces")
     coded = _coded(pieces.filter("bucket >= 0"), ranks)
-    return _assembled(pieces.filter("bucket < 0").unionByName(coded), rows.schema["row"].dataType)
+    return _assembled(pieces.filter("bucket < 0").unionByName(coded), rows.schema["row"].dataType, packed)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """As :func:`encode_packed`, with ``ids`` as an array of int."""
-    return encode_packed(docs, ranks, pattern, keep).select("row", "n_tokens", unpacked("packed").alias("ids"))
-
-
-def unpacked(ids: str) -> Column:
-    """Packed ids as an array of int."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def fn(col: pd.Series) -> pd.Series:
-        return col.map(lambda x: None if x is None else np.frombuffer(x, np.uint32).astype(np.int32))
-
-    return fn(F.col(ids))
+    """As :func:`encode_packed`, with ``ids`` as an array of int in place of ``packed``."""
+    return encode_packed(docs, ranks, pattern, keep, packed=False)
 
 
 class TokenBytes:
