@@ -60,10 +60,21 @@ def _head(df, n, state=None, chunks=None):
     return clean(df.withColumn("__pos", pos).filter(F.col("__pos") <= n)), {"rows": after}
 
 
+# Up to this many rows per group Spark limits each task's part before the shuffle.
+GROUP_LIMIT = 1000
+
+
+def _first(df, n, order):
+    """The first ``n`` rows of each service; no more than that many per service and task are shuffled."""
+    pos = F.row_number().over(Window.partitionBy("service").orderBy(order))
+    return df.withColumn("__pos", pos).filter(F.col("__pos") <= n).drop("__pos")
+
+
 def head(df: DataFrame, n: int, *, chunks: int | None = None) -> DataFrame:
     """First ``n`` lines of each service."""
     require(df, "seq", "service")
-    return _head(df, _at_least("n", n, 1), chunks=chunks)[0]
+    n = _at_least("n", n, 1)
+    return _first(df, n, "seq") if n <= GROUP_LIMIT else _head(df, n, chunks=chunks)[0]
 
 
 def ceiling(df: DataFrame, limit: int, *, chunks: int | None = None) -> DataFrame:
@@ -75,6 +86,8 @@ def last_n(df: DataFrame, n: int = 0, *, chunks: int | None = None) -> DataFrame
     """Last ``n`` lines of each service; 0 means 100."""
     require(df, "seq", "service")
     n = _at_least("n", n, 0) or 100
+    if n <= GROUP_LIMIT:
+        return _first(df, n, F.desc("seq"))
     df, _ = carry(add_chunks(df, ARRIVAL, chunks), "service", [count_rows()], reverse=True)
     df = df.filter(F.col("__n") < n)
     pos = F.col("__n") + F.row_number().over(local("service", ARRIVAL, reverse=True))
@@ -372,18 +385,23 @@ def throttle(df: DataFrame, lines_per_second: int, *, chunks: int | None = None)
     return pace(df, _at_least("lines_per_second", lines_per_second, 1), chunks=chunks)
 
 
+def _nanos(position: str, step: Column) -> Column:
+    return (F.col(position).cast("decimal(19,0)") * step).cast("decimal(38,0)")
+
+
 def _pace(df, rate, group, state=None, chunks=None):
     state = state or {}
     if rate == 0:
         return df.withColumn("paced_ts", F.col("ts")).withColumn("delay_us", F.lit(0).cast("bigint")), {}
-    step = 1_000_000_000 // rate
+    # Positions times steps pass the range of a bigint on long streams.
+    step = F.lit(1_000_000_000 // rate).cast("decimal(18,0)")
     df = add_chunks(df.withColumn("__us", micros(df)), ARRIVAL, chunks)
     # A line leaves at the latest of: its own time, and one step after the line before it. With
     # time measured from an even schedule that is a running maximum. A chunk's maximum is taken
     # with positions counted inside it and moved when its place is known.
     w = local(group, ARRIVAL)
     df = with_group(df, group)
-    lead = F.col("__us") * 1000 - F.col("__rn") * F.lit(step)
+    lead = (F.col("__us").cast("decimal(38,0)") * 1000 - _nanos("__rn", step)).cast("decimal(38,0)")
     narrow = df.select(*keys_of(group), CHUNK, "seq", "__us").withColumn("__rn", F.row_number().over(w).cast("bigint"))
     summary = narrow.groupBy(*keys_of(group), CHUNK).agg(
         F.count(F.lit(1)).alias("__n"), F.max(lead).alias("__lead")
@@ -392,14 +410,14 @@ def _pace(df, rate, group, state=None, chunks=None):
         summary = state["rows"].withColumn(CHUNK, F.lit(-1).cast("bigint")).unionByName(summary)
     cw = Window.partitionBy(*keys_of(group)).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn("__before", F.coalesce(F.sum("__n").over(cw), F.lit(0)))
-    summary = summary.withColumn("__lead", F.col("__lead") - F.col("__before") * F.lit(step))
+    summary = summary.withColumn("__lead", (F.col("__lead") - _nanos("__before", step)).cast("decimal(38,0)"))
     after = summary.groupBy(*keys_of(group)).agg(F.sum("__n").alias("__n"), F.max("__lead").alias("__lead"))
     before = summary.select(*keys_of(group), CHUNK, "__before", F.max("__lead").over(cw).alias("__earlier"))
     df = df.join(before, [*keys_of(group), CHUNK])
     df = df.withColumn("__rn", F.col("__before") + F.row_number().over(w))
     df = df.withColumn("__lead", F.max(lead).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     most = F.greatest(F.col("__lead"), F.col("__earlier"))
-    df = df.withColumn("__nanos", most + F.col("__rn") * F.lit(step))
+    df = df.withColumn("__nanos", (most + _nanos("__rn", step)).cast("decimal(38,0)"))
     df = df.withColumn("__paced", F.expr("__nanos div 1000"))
     out = df.withColumn("paced_ts", from_micros(df, F.col("__paced")))
     out = out.withColumn("delay_us", F.col("__paced") - F.col("__us"))

@@ -219,23 +219,24 @@ simple(
     f"""SELECT seq, service, text FROM (SELECT *, lag(text) OVER ({_SVC}) AS p FROM doc_lines) WHERE p IS NULL OR p <> text""",
     "seq", "service", "text",
 )
-simple(
-    "suppress", lambda s, f: v.logs_msg(s, f).withColumn("text", F.substring_index("text", " ", 1)),
-    lambda df: od.suppress(df, 2),
-    f"""WITH l AS (SELECT seq, service, split_part(text, ' ', 1) AS text FROM logs_msg),
-        c AS (SELECT *, CASE WHEN lag(text) OVER ({_SVC}) = text THEN 0 ELSE 1 END AS n FROM l),
+_SUPPRESS = f"""WITH c AS (SELECT *, CASE WHEN lag(text) OVER ({_SVC}) = text THEN 0 ELSE 1 END AS n FROM {{0}}),
         r AS (SELECT *, sum(n) OVER ({_SVC}) AS run FROM c),
         k AS (SELECT *, row_number() OVER (PARTITION BY service, run ORDER BY seq) AS rn FROM r)
-        SELECT seq, service, text FROM k WHERE rn <= 2""",
-    "seq", "service", "text",
+        SELECT seq, service, text FROM k WHERE rn <= 2"""
+_DEBOUNCE = """WITH p AS (SELECT *, lag(text) OVER w AS pt, lag(ts) OVER w AS pts FROM {0}
+            WINDOW w AS (PARTITION BY service ORDER BY ts, seq))
+        SELECT seq, service, text FROM p WHERE pt IS NULL OR pt <> text OR ts - pts >= INTERVAL {1}"""
+simple(
+    "suppress", v.logs, lambda df: od.suppress(df, 2), _SUPPRESS.format("logs"), "seq", "service", "text",
 )
 simple(
-    "debounce", lambda s, f: v.logs_msg(s, f).withColumn("text", F.substring_index("text", " ", 1)),
-    lambda df: od.debounce(df, "30 minutes"),
-    """WITH l AS (SELECT seq, service, split_part(text, ' ', 1) AS text, ts FROM logs_msg),
-        p AS (SELECT *, lag(text) OVER w AS pt, lag(ts) OVER w AS pts FROM l WINDOW w AS (PARTITION BY service ORDER BY ts, seq))
-        SELECT seq, service, text FROM p WHERE pt IS NULL OR pt <> text OR ts - pts >= INTERVAL 30 MINUTE""",
-    "seq", "service", "text",
+    "suppress_doc_lines", v.doc_lines, lambda df: od.suppress(df, 2), _SUPPRESS.format("doc_lines"), "seq", "service", "text",
+)
+simple(
+    "debounce", v.logs, lambda df: od.debounce(df, "30 minutes"), _DEBOUNCE.format("logs", "30 MINUTE"), "seq", "service", "text",
+)
+simple(
+    "debounce_doc_lines", v.doc_lines, lambda df: od.debounce(df, 2), _DEBOUNCE.format("doc_lines", "2 SECOND"), "seq", "service", "text",
 )
 
 # --- line by line ----------------------------------------------------------------------------------------
@@ -617,56 +618,91 @@ def read_text(spark, folder):
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, folder, view: str) -> DataFrame:
-    """The events table as a stream, in the shape of a view."""
-    source = spark.readStream.schema(v.table(spark, folder, "events").schema).parquet(f"{folder}/events*.parquet")
-    from loglane.schema import as_logs
+# Lines of one micro-batch of a registered stream, about, and the fewest batches.
+BATCH_LINES = 250_000
+LEAST_BATCHES = 5
+
 
-    if view == "logs":
-        return as_logs(source, seq="event_id", service="event_type", text="props")
-    raise ValueError(view)
+def _stream(spark, folder, view) -> DataFrame:
+    """All lines of a view as a stream of several files, in order of ``seq``, one in each micro-batch."""
+    path = scratch(spark) + "/source"
+    # The view's order is cut where its rows are about evenly dealt.
+    df = view(spark, folder).select("seq", "service", "text", "ts")
+    number = max(LEAST_BATCHES, -(-df.count() // BATCH_LINES))
+    cuts = df.select(F.percentile_approx("seq", [i / number for i in range(1, number)], 10 * number)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        part = df if low is None else df.filter(F.col("seq") > low)
+        part = part if high is None else part.filter(F.col("seq") <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _run_step(spark, folder, step: steps.StreamStep) -> DataFrame:
+def _run_step(spark, folder, view, step: steps.StreamStep, newest: bool = False) -> DataFrame:
     base = scratch(spark)
     stateful.run(
-        _stream(spark, folder, "logs"), step.step, output=f"{base}/out", state=f"{base}/state",
+        _stream(spark, folder, view), step.step, output=f"{base}/out", state=f"{base}/state",
         checkpoint=f"{base}/checkpoint", names=step.names,
     ).awaitTermination()
-    out = spark.read.parquet(f"{base}/out").drop("batch")
+    out = spark.read.parquet(f"{base}/out")
+    if newest:
+        last = out.agg(F.max("batch")).first()[0]
+        out = out.filter(F.col("batch") == last)
+    out = out.drop("batch")
     if step.end is not None:
         out = out.unionByName(stateful.finish(spark, step.end, state=f"{base}/state", names=step.names))
     return out
 
 
-def stream_step(name: str, step: Callable[[], steps.StreamStep], same_as: str, *columns: str) -> None:
-    query(name)(lambda spark, folder: _run_step(spark, folder, step()).select(*columns))
-    ORACLE[name] = ORACLE[same_as]
+def stream_step(name: str, step: Callable[[], steps.StreamStep], view, sql: str, *columns: str, flat=None, newest=False) -> None:
+    """A step over a whole view in micro-batches; the same SQL as the query of the whole, by name or given."""
+
+    def run(spark, folder):
+        out = _run_step(spark, folder, view, step(), newest)
+        return flat(out) if flat else out.select(*columns)
+
+    # Views are put in front of SQL that is given; that of a registered query has them.
+    query(name, None if sql in ORACLE else sql)(run)
+    ORACLE.setdefault(name, ORACLE.get(sql, ""))
 
 
 LINE = ("seq", "service", "text")
-stream_step("stream_dedupe", steps.dedupe, "dedupe", *LINE)
-stream_step("stream_head", lambda: steps.head(25), "head", *LINE)
-query(
-    "stream_drift",
-    f"SELECT seq, service, text, row_number() OVER (PARTITION BY {NORM} {SEQ}) = 1 AS drift FROM logs",
-)(lambda spark, folder: _run_step(spark, folder, steps.drift()).select(*LINE, "drift"))
-query("stream_multiline", _MULTI.format("logs", '"k": 1', "", "2 HOUR", "coalesce(b.service, '')", ""))(
-    lambda spark, folder: _run_step(spark, folder, steps.multiline('"k": 1', "2 hours")).select(*LINE, "ts")
-)
+stream_step("stream_dedupe", steps.dedupe, v.logs, "dedupe", *LINE)
+stream_step("stream_suppress", lambda: steps.suppress(2), v.logs, "suppress", *LINE)
+stream_step("stream_debounce", lambda: steps.debounce("30 minutes"), v.logs, "debounce", *LINE)
+stream_step("stream_head", lambda: steps.head(25), v.logs, "head", *LINE)
+stream_step("stream_last_n", lambda: steps.last_n(30), v.logs, "last_n", *LINE, newest=True)
+stream_step("stream_gate", lambda: steps.gate("ERROR user=1", "k=5"), v.logs_msg, "gate", *LINE)
+stream_step("stream_sample_per_service", lambda: steps.sample_per_service(7), v.logs_msg, "sample_per_service", *LINE)
+stream_step("stream_sample_overall", lambda: steps.sample_overall(11), v.logs_msg, "sample_overall", *LINE)
+stream_step("stream_byte_offset", steps.byte_offset, v.doc_lines, "byte_offset", "seq", "service", "offset")
+stream_step("stream_line_number", lambda: steps.line_number(3), v.doc_lines, "line_number", "seq", "text")
+stream_step("stream_sequence", steps.sequence, v.logs_msg, "sequence", "seq", "text")
+stream_step("stream_pace", lambda: steps.pace(3), v.bursts, "pace", "seq", "paced_ts", "delay_us")
+stream_step("stream_join_runs", lambda: steps.join_runs(" / ", 3), v.turns, _RUNS.format("turns", " / ", 3), *LINE, "ts")
+stream_step("stream_batches", lambda: steps.batches(64), v.logs, "batch_size", flat=_flat)
+stream_step(
+    "stream_drift", steps.drift, v.logs,
+    f"SELECT seq, service, text, row_number() OVER (PARTITION BY {NORM} {SEQ}) = 1 AS drift FROM logs", *LINE, "drift",
+)
+stream_step("stream_drift_fuzzy", lambda: steps.drift("fuzzy", 0.8), v.logs, "drift_fuzzy", "seq", "drift")
+stream_step(
+    "stream_multiline", lambda: steps.multiline('"k": 1', "2 hours"), v.logs,
+    _MULTI.format("logs", '"k": 1', "", "2 HOUR", "coalesce(b.service, '')", ""), *LINE, "ts",
+)
 
 
 @query(
     "stream_window_counts",
-    """WITH w AS (SELECT service AS key, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end FROM logs)
-       SELECT key, count(*) AS count, window_end FROM w
-       WHERE window_end <= (SELECT max(ts) FROM logs) - INTERVAL 1 HOUR GROUP BY ALL""",
+    """SELECT service AS key, count(*) AS count, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end
+       FROM logs GROUP BY ALL""",
 )
 def stream_window_counts(spark, folder):
-    """Windows that the watermark has closed by the end of the table."""
+    """All windows: an end mark after the last line closes those still open."""
     base = scratch(spark)
-    counts = windows.window_counts(_stream(spark, folder, "logs"), "6 hours", "1 hour")
+    source = _stream(spark, folder, lambda s, f: windows.with_end(v.logs(s, f), "7 hours"))
+    counts = windows.window_counts(source, "6 hours", "1 hour")
     writer = counts.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
     writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(counts.schema).parquet(f"{base}/out")
+    out = spark.read.schema(counts.schema).parquet(f"{base}/out").filter(F.col("key") != windows.END)
     return out.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))

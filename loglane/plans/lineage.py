@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tables of a few numbers per row are broadcast up to this many rows, some tens of megabytes.
-BROADCAST_ROWS = 1_000_000
+# Tables are broadcast up to this many bytes, counted as the bytes of texts and 16 for every other value.
+BROADCAST_BYTES = 64 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -30,9 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Ask for a broadcast only where the rows, counted, are few; else leave the join to Spark.
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Ask for a broadcast only where the table, measured, is small; else leave the join to Spark.
 
-    ``df`` should be narrow and cheap to read again (a table, or the result of ``cut``).
+    ``df`` should be narrow and cheap to read again (a table, or the result of ``cut``). Its size is summed up in
+    every partition first, so that no task sees all rows.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    texts = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n, kind in df.dtypes if kind == "string"]
+    width = sum(texts, F.lit(16 * (len(df.columns) - len(texts)) + 16)).cast("bigint")
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df

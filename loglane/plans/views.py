@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from loglane.schema import as_logs
 
 
+# Numbers for the lines of one document or conversation.
+LINES = 1 << 31
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
@@ -48,16 +52,19 @@ def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents line by line, under their language."""
     docs = table(spark, folder, "documents")
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.withColumn("seq", F.col("doc_id") * 100_000 + F.col("i"))
-    lines = lines.withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, seq / 1000.0BD)"))
+    # No text has more than 2**31 lines; an id too large for this fails.
+    lines = lines.withColumn("seq", F.col("doc_id") * LINES + F.col("i"))
+    at = "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, (doc_id * 100000 + i) / 1000.0BD)"
+    lines = lines.withColumn("ts", F.expr(at))
     return as_logs(lines, service="lang", text="line")
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns, under their role; one turn per minute."""
     df = table(spark, folder, "conversations")
-    df = df.withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
-    df = df.withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, CAST(seq AS DECIMAL(18, 0)))"))
+    df = df.withColumn("seq", F.col("conv_id") * LINES + F.col("turn"))
+    at = "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, CAST(conv_id * 1000 + turn AS DECIMAL(18, 0)))"
+    df = df.withColumn("ts", F.expr(at))
     return as_logs(df, service="role")
 
 
@@ -77,11 +84,11 @@ SQL = {
         CASE event_type WHEN 'error' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ ')
         WHEN 'purchase' THEN strftime(ts, '%Y-%m-%d %H:%M:%S ')
         WHEN 'signup' THEN strftime(ts, '%b %-d %H:%M:%S ') ELSE '' END || props AS text, ts FROM events)""",
-    "doc_lines": """doc_lines AS (SELECT doc_id * 100000 + i - 1 AS seq, lang AS service, parts[i] AS text,
+    "doc_lines": """doc_lines AS (SELECT doc_id * 2147483648 + i - 1 AS seq, lang AS service, parts[i] AS text,
         TIMESTAMP '2024-01-01' + to_milliseconds(doc_id * 100000 + i - 1) AS ts
         FROM (SELECT doc_id, lang, parts, unnest(range(1, len(parts) + 1)) AS i
               FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents)))""",
-    "turns": """turns AS (SELECT conv_id * 1000 + turn AS seq, role AS service, text,
+    "turns": """turns AS (SELECT conv_id * 2147483648 + turn AS seq, role AS service, text,
         TIMESTAMP '2024-01-01' + to_seconds(conv_id * 1000 + turn) AS ts FROM conversations)""",
     "bursts": """bursts AS (SELECT event_id AS seq, event_type AS service, props AS text,
         date_trunc('hour', ts)::TIMESTAMP AS ts FROM events)""",

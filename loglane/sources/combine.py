@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from loglane.operators.transforms import label
+from loglane.plans.lineage import cut
 
 
 def merge(*dfs: DataFrame) -> DataFrame:
@@ -25,11 +26,11 @@ def label_all(sources: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def fan_out(df: DataFrame, *consumers: Callable[[DataFrame], object]) -> list:
-    """Give every consumer every line (S11); what they read in common is computed once."""
+    """Give every consumer every line (S11); what they read in common is computed once.
+
+    The lines are written to the shared checkpoint folder, so lazy consumers may read them at any later time.
+    """
     if not consumers:
         raise ValueError("fan_out: at least one consumer is required")
-    df = df.persist()
-    try:
-        return [consume(df) for consume in consumers]
-    finally:
-        df.unpersist()
+    df = cut(df)
+    return [consume(df) for consume in consumers]

@@ -95,28 +95,47 @@ def get_offset(checkpoint: DataFrame, service: str) -> int:
     return row[0] or 0
 
 
+def _complete(spark: SparkSession, path: str) -> DataFrame:
+    """``version, entries`` of the versions whose writing came to its end."""
+    try:
+        return spark.read.schema("version int, entries bigint").json(f"{path}/complete")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "version int, entries bigint")
+
+
 def save_checkpoint(checkpoint: DataFrame, path: str, version: int) -> None:
-    """Write version ``version`` under ``path``; a version is complete or does not count."""
-    checkpoint.write.mode("overwrite").json(f"{path}/version={version}")
+    """Write version ``version`` under ``path``; a version is complete or does not count.
+
+    The entries are written first, then a note of their number, which makes the version count. A complete version is
+    never written again; what an interrupted writer left is replaced.
+    """
+    spark = checkpoint.sparkSession
+    done = _complete(spark, path)
+    if not done.filter(F.col("version") == version).isEmpty():
+        raise ValueError(f"checkpoint: version {version} is already there")
+    folder = f"{path}/version={version}"
+    checkpoint.write.mode("overwrite").json(folder)
+    entries = spark.read.schema(CHECKPOINT_SCHEMA).json(folder).count()
+    note = spark.range(1).coalesce(1).select(F.lit(version).alias("version"), F.lit(entries).alias("entries"))
+    note.write.mode("append").json(f"{path}/complete")
 
 
 def load_checkpoint(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Read a version, by default the newest complete one; empty if nothing was saved."""
+    """Read a version, by default the newest complete one; empty if nothing was saved.
+
+    Folders without a note, as an interrupted writer leaves them, are passed over. A version that is asked for and is
+    not complete is an error.
+    """
+    done = _complete(spark, path)
+    newest = done.agg(F.max("version")).first()[0]
     if version is None:
-        try:
-            # The commit marker is what the writer leaves last.
-            done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-                "pathGlobFilter", "*.json"
-            ).load(path)
-            versions = done.select(
-                F.regexp_extract("path", r"/version=(\d+)/[^/]+\z", 1).cast("int").alias("v")
-            )
-            version = versions.agg(F.max("v")).first()[0]
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        if version is None:
+        if newest is None:
             return empty_checkpoint(spark)
+        version = newest
+    elif done.filter(F.col("version") == version).isEmpty():
+        raise ValueError(f"checkpoint: version {version} is not complete")
     table = spark.read.schema(CHECKPOINT_SCHEMA).option("mode", "FAILFAST").json(f"{path}/version={version}")
     return table.filter(F.coalesce("service", F.lit("")) != "")
 

@@ -8,12 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loglane.plans.lineage import broadcast_if_small, cut
 from loglane.sources.combine import merge
 
-# Lines of one file split get numbers within a span of this many.
-_SPAN = 33
-_UNIT = 1 << 20
-
 
 def _check(sources: Mapping[str, str]) -> list[tuple[str, str]]:
     """At least one source, every name and path non-empty (a mapping has unique names)."""
@@ -28,7 +25,7 @@ def _check(sources: Mapping[str, str]) -> list[tuple[str, str]]:
 
 
 def _file_bases(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per file: ``path`` and the number of size units in the files before it.
+    """One row per file: ``path`` and the number of bytes, and one more each, of the files before it.
 
     The binary file source lists files with their lengths; contents are not read.
     """
@@ -36,12 +33,11 @@ def _file_bases(spark: SparkSession, paths: list[str]) -> DataFrame:
         spark.read.format("binaryFile").load(p).select("path", "length", F.lit(i).alias("source"))
         for i, p in enumerate(paths)
     ]
-    units = F.floor(F.col("length") / _UNIT) + 1
     w = Window.orderBy("source", "path").rowsBetween(Window.unboundedPreceding, -1)
     return merge(*parts).select(
         F.col("source").alias("__source"),
         F.col("path").alias("__path"),
-        F.coalesce(F.sum(units).over(w), F.lit(0)).alias("__base"),
+        F.coalesce(F.sum(F.col("length") + 1).over(w), F.lit(0)).alias("__base"),
     )
 
 
@@ -53,16 +49,15 @@ def _same_path(path: Column) -> Column:
 def read_logs(spark: SparkSession, sources: Mapping[str, str], *, ts: Column | None = None) -> DataFrame:
     """One row per line of the files of each ``{service: path}``.
 
-    ``seq`` follows the sources in the order given, their files by name, and the lines in each file,
-    without a shuffle: a file split has its number in the high bits, and a line its place in the
-    low bits. ``ts`` defaults to the file's modification time. A missing path is an error.
+    ``seq`` follows the sources in the order given, their files by name, and the lines in each file, without a shuffle
+    of lines: a file split begins with the number of bytes before it, and a line adds its place in the split, which
+    has no more lines than bytes. So numbers are unique for splits of any size. The text is read twice, the
+    first time for the splits' first lines alone. ``ts`` defaults to the file's modification time. A missing path
+    is an error.
     """
     entries = _check(sources)
     paths = [p for _, p in entries]
     bases = _file_bases(spark, paths).withColumn("__path", _same_path(F.col("__path")))
-    limit = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
-    if _bytes(limit) < _UNIT:
-        raise ValueError("spark.sql.files.maxPartitionBytes must be at least 1 MiB")
     parts = []
     for i, (service, path) in enumerate(entries):
         lines = spark.read.text(path, lineSep="\n").select(
@@ -75,21 +70,19 @@ def read_logs(spark: SparkSession, sources: Mapping[str, str], *, ts: Column | N
             F.monotonically_increasing_id().alias("__id"),
         )
         parts.append(lines)
-    # One small row per file.
-    df = merge(*parts).join(bases, ["__source", "__path"])
-    split = F.col("__base") + F.floor(F.col("__start") / _UNIT)
-    place = F.col("__id").bitwiseAND(F.lit((1 << _SPAN) - 1))
-    seq = F.shiftleft(split.cast("bigint"), _SPAN) + place
+    df = merge(*parts)
+    # A task may read several splits, each from its first line to its last.
+    split = ["__source", "__path", "__start"]
+    splits = df.groupBy(*split).agg(F.min("__id").alias("__first")).join(bases, ["__source", "__path"])
+    # One small row per split.
+    df = df.join(broadcast_if_small(cut(splits)), split)
+    # The line at byte 0 belongs to the first split; others begin with the first line after their first byte.
+    later = F.when(F.col("__start") > 0, 1).otherwise(0)
+    seq = F.col("__base") + F.col("__start") + later + F.col("__id") - F.col("__first")
     at = F.col("__modified") if ts is None else ts
     return df.select(seq.alias("seq"), "service", "text", at.alias("ts"))
 
 
-def _bytes(text: str) -> int:
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    t = text.lower().rstrip("b")
-    return int(float(t[:-1]) * units[t[-1]]) if t[-1:] in units else int(t)
-
-
 def stream_logs(
     spark: SparkSession,
     sources: Mapping[str, str],

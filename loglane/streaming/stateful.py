@@ -23,6 +23,8 @@ Step = Callable[[DataFrame, State], tuple[DataFrame, State]]
 
 # Names of state tables that grow by what is new in a batch instead of being replaced.
 GROWS = "seen"
+# The table that says which batches are done.
+DONE = "ended"
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -89,6 +91,8 @@ def run(
         out.write.mode("overwrite").format(fmt).save(f"{output}/batch={batch}")
         for name, table in after.items():
             table.write.mode("overwrite").parquet(f"{state}/{name}/batch={batch}")
+        # A row of its own says that the batch is done, whether or not anything is held.
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{state}/{DONE}/batch={batch}")
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -96,6 +100,6 @@ def run(
 
 def finish(spark: SparkSession, end: Callable[[State], DataFrame], *, state: str, names: list[str]) -> DataFrame:
     """What a step still holds when its stream is over (the last open run, record or batch)."""
-    newest = spark.read.parquet(f"{state}/{names[0]}").agg(F.max("batch")).first()[0]
-    newest = -1 if newest is None else newest
+    done = _read(spark, f"{state}/{DONE}")
+    newest = -1 if done is None else done.agg(F.max("batch")).first()[0]
     return end(load_state(spark, state, names, newest))

@@ -14,6 +14,22 @@ from loglane.operators import aggregates as ag
 from loglane.schema import duration_micros, interval, require
 
 
+# The service of the line that ends a stream. Results under this name are to be left out.
+END = "\x03"
+
+
+def with_end(df: DataFrame, after) -> DataFrame:
+    """Lines with an end mark: one more line, ``after`` the last one, that closes all windows and sessions.
+
+    ``after`` must be longer than a window and the watermark's delay together. A live stream gets such a line from
+    whoever ends it.
+    """
+    require(df, "seq", "service", "text", "ts")
+    last = df.agg((F.max("seq") + 1).alias("seq"), (F.max("ts") + F.expr(f"INTERVAL '{duration_micros(after) / 1e6:.6f}' SECOND")).alias("ts"))
+    mark = last.filter("seq is not null").select("seq", F.lit(END).alias("service"), F.lit("").alias("text"), F.col("ts").cast(df.schema["ts"].dataType).alias("ts"))
+    return df.select("seq", "service", "text", "ts").unionByName(mark)
+
+
 def with_watermark(stream: DataFrame, delay) -> DataFrame:
     """Event time with a watermark. Spark needs a time with zone for it, so ``ts`` becomes one."""
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -102,7 +102,19 @@ def test_checkpoint(spark, tmp_path):
     for bad in (("", 1), (None, 1), ("a", -1)):
         with pytest.raises(Exception, match="checkpoint:"):
             snapshots.set_offsets(one, update(bad)).collect()
-    put(path + "/version=3", "x.json", '{"service":"","offset":1}\n{"service":"c","offset":7}\n')
+    # What an interrupted writer leaves does not count, and may be written again; a complete version may not.
+    put(path + "/version=3", "x.json", '{"service":"c","offset":7}\n')
+    assert {r["service"] for r in snapshots.load_checkpoint(spark, path).collect()} == {"a", "b"}
+    with pytest.raises(ValueError, match="not complete"):
+        snapshots.load_checkpoint(spark, path, 3)
+    with pytest.raises(ValueError, match="already"):
+        snapshots.save_checkpoint(one, path, 2)
+    snapshots.save_checkpoint(one, path, 3)
+    assert {(r["service"], r["offset"]) for r in snapshots.load_checkpoint(spark, path).collect()} == {("a", 10), ("b", 5)}
+    snapshots.save_checkpoint(snapshots.empty_checkpoint(spark), path, 4)
+    assert snapshots.load_checkpoint(spark, path).count() == 0
+    put(path + "/version=5", "x.json", '{"service":"","offset":1}\n{"service":"c","offset":7}\n')
+    put(path + "/complete", "x.json", '{"version":5,"entries":2}\n')
     assert [r["service"] for r in snapshots.load_checkpoint(spark, path).collect()] == ["c"]
 
 
