@@ -152,3 +152,40 @@ def test_time_with_zone_works_too(logs):
     df = logs([("s", "a", 0), ("s", "a", 1), ("s", "b", 9)]).withColumn("ts", F.col("ts").cast("timestamp"))
     assert texts(od.debounce(df, 5)) == ["a", "b"]
     assert [r["count"] for r in ag.rolling_count(df, 5).orderBy("seq").collect()] == [1, 2, 1]
+
+
+def test_read_logs_numbers_are_unique_for_any_split(spark, tmp_path):
+    many = [f"{i}" if i % 3 else "" for i in range(60_000)]
+    put(str(tmp_path / "a"), "1.log", "\n".join(many))
+    put(str(tmp_path / "a"), "2.log", "\n" * 50)
+    confs = {"openCostInBytes": "1000", "minPartitionNum": "64", "maxPartitionBytes": "4000"}
+    for k, x in confs.items():
+        spark.conf.set(f"spark.sql.files.{k}", x)
+    try:
+        rows = text.read_logs(spark, {"s": str(tmp_path / "a")}).orderBy("seq").collect()
+    finally:
+        for k in confs:
+            spark.conf.unset(f"spark.sql.files.{k}")
+    assert [r["text"] for r in rows] == many + [""] * 50
+    assert len({r["seq"] for r in rows}) == len(rows)
+
+
+def test_small_tables_are_measured_without_one_task(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text")
+    plan = lambda d: d._jdf.queryExecution().toString()
+    assert "broadcast" in plan(lineage.broadcast_if_small(df))
+    assert "broadcast" not in plan(lineage.broadcast_if_small(df, 50_000))
+
+
+def test_limits_before_the_shuffle(logs):
+    df = od.head(logs([("a", "1"), ("b", "2"), ("a", "3")]), 1)
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    assert texts(df) == ["1", "2"]
+
+
+def test_pace_of_a_very_long_stream(spark, logs):
+    df = logs([("a", "x"), ("a", "y")])
+    _, state = od._pace(df, 1, None)
+    rows = state["rows"].withColumn("__n", F.lit(10**10).cast("bigint"))
+    out = od._pace(df, 1, None, {"rows": rows})[0].collect()
+    assert len(out) == 2 and all(r["paced_ts"] is not None for r in out)
