@@ -5,7 +5,8 @@ of words and numbers each piece's distinct words; the words' positions stay with
 distinct words of all pieces are shuffled by word, so that every distinct word of the corpus is encoded once; the ids go
 back to the pieces that have the word, and the documents are put together again by position. A frequent word
 is one entry per piece, however often it occurs, so no word makes a hot task. Words and ids travel in rows of
-many, one for each piece and bucket of words, compressed. Decoding looks ids up in the table of token bytes, whose
+many, one for each piece and bucket of words, compressed; the pieces themselves are stored in buckets by piece and are
+not shuffled. Decoding looks ids up in the table of token bytes, whose
 size is fixed.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglane.llm.shared import bytes_of, slices, store, texts_of
+from loglane.llm.shared import TEXT_ROWS, arrow_rows, bytes_of, slices, store_by, texts_of
 
 # Words of a piece, about, and rows that a task sends at a time. A text is never split over pieces.
 PIECE_WORDS = 2_000_000
@@ -276,23 +277,20 @@ def _coded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.groupBy("bucket").applyInArrow(fn, PIECE)
 
 
-def _assembled(pieces: DataFrame, row_type: T.DataType, packed: bool) -> DataFrame:
-    """``row, n_tokens`` of each document, and its ids ``packed`` (four bytes each) or as an array ``ids``."""
+def _assembled(pieces: DataFrame, coded: DataFrame, row_type: T.DataType, packed: bool) -> DataFrame:
+    """``row, n_tokens`` of each document, and its ids ``packed`` (four bytes each) or as an array ``ids``.
+
+    ``pieces`` has one row a piece, ``coded`` a row for each piece and bucket of words; a piece may have no words.
+    """
     name, kind = ("packed", T.BinaryType()) if packed else ("ids", T.ArrayType(T.IntegerType()))
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, lengths, flat, line, docs = [], [], [], None, None
-        for batch in batches:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for bucket, places, content in zip(*(cols[c].to_pylist() for c in ("bucket", "numbers", "content")), strict=True):
-                raw = _expand(content)
-                if bucket < 0:
-                    line, docs = _expand(places), list(pa.ipc.open_stream(raw))
-                else:
-                    numbers.append(places)
-                    n = sum(x < 128 for x in places)
-                    lengths.append(np.frombuffer(raw, "<u4", n).astype(np.int64) // 4)
-                    flat.append(np.frombuffer(raw, "<u4", offset=4 * n))
+    def fn(piece: pa.Table, coded: pa.Table) -> pa.Table:
+        numbers, lengths, flat, found = coded["numbers"].to_pylist(), [], [], []
+        line, docs = _expand(piece["numbers"][0].as_py()), list(pa.ipc.open_stream(_expand(piece["content"][0].as_py())))
+        for places, content in zip(numbers, coded["content"], strict=True):
+            raw, n = _expand(content.as_py()), sum(x < 128 for x in places)
+            lengths.append(np.frombuffer(raw, "<u4", n).astype(np.int64) // 4)
+            flat.append(np.frombuffer(raw, "<u4", offset=4 * n))
         total = sum(pc.sum(d.column(1)).as_py() for d in docs)
         number = unpack(numbers)[0]
         length, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
@@ -315,13 +313,14 @@ def _assembled(pieces: DataFrame, row_type: T.DataType, packed: bool) -> DataFra
             ids = flat[np.repeat(begin[few] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
             cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
             if packed:
-                found = pa.array([ids[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+                col = pa.array([ids[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
             else:
-                found = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.record_batch({"row": d.column(0), "n_tokens": pa.array(np.diff(cuts)), name: found})
+                col = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
+            found.append(pa.record_batch({"row": d.column(0), "n_tokens": pa.array(np.diff(cuts)), name: col}))
+        return pa.Table.from_batches(found)
 
     schema = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType()), T.StructField(name, kind)])
-    return pieces.groupBy("piece").applyInArrow(fn, schema)
+    return pieces.groupBy("piece").cogroup(coded.groupBy("piece")).applyInArrow(fn, schema)
 
 
 def encode_packed(
@@ -336,10 +335,13 @@ def encode_packed(
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(True).alias("none"))
     rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
+    arrow_rows(docs, TEXT_ROWS)
+    parts = docs.rdd.getNumPartitions()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Read again twice; a bucket's words come from all pieces, so buckets follow the input's size.
-    pieces = store(_pieces(rows, pattern, max(LEAST_BUCKETS, 2 * docs.rdd.getNumPartitions())), "pieces")
+    pieces = store_by(_pieces(rows, pattern, max(LEAST_BUCKETS, 2 * parts)), "piece", max(least, parts), "pieces")
     coded = _coded(pieces.filter("bucket >= 0"), ranks)
-    return _assembled(pieces.filter("bucket < 0").unionByName(coded), rows.schema["row"].dataType, packed)
+    return _assembled(pieces.filter("bucket < 0"), coded, rows.schema["row"].dataType, packed)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:

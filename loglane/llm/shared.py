@@ -15,6 +15,8 @@ from loglane.plans.lineage import ensure_checkpoint_dir
 
 # Bytes of text worked on at a time; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
+# Rows of an arrow batch: of whole documents, and of anything narrow.
+TEXT_ROWS, NARROW_ROWS = 500, 10_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +36,41 @@ def store(df: DataFrame, name: str = "llm") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """As :func:`store`, bucketed by ``key``: grouping the result by it needs no shuffle.
+
+    Only the files stay; the table's name is given up at once.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    table_name = path.rpartition("/")[2].replace("-", "_")
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    rows = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    return rows
+
+
+def arrow_rows(df: DataFrame, rows: int) -> None:
+    """Rows of the arrow batches that tasks exchange with Python, for the jobs that follow in ``df``'s session.
+
+    Batches are bounded by rows alone: whole documents need short ones, for the executor's sake. Every operator
+    whose results depend on it sets it.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = NARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Successive batches put together to at least ``rows`` rows each, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.concat_batches(held)
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
@@ -41,7 +78,15 @@ def crc_mod(doc_id: str, n: int) -> Column:
 
 def texts_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column as plain strings, null as empty."""
-    col = batch.column(batch.schema.get_field_index(name))
+    return _plain(batch.column(batch.schema.get_field_index(name)))
+
+
+def texts_in(row: pa.StructArray, name: str = "text") -> pa.Array:
+    """A text field of structs that are not null, as plain strings, null as empty."""
+    return _plain(row.field(next(i for i, f in enumerate(row.type) if f.name.lower() == name)))
+
+
+def _plain(col: pa.Array) -> pa.Array:
     return col.cast(pa.string()).fill_null("") if not pa.types.is_string(col.type) else col.fill_null("")
 
 
