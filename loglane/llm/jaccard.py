@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from loglane.llm.components import components
 from loglane.llm.shared import (
-    LOWER, SPACE, bytes_of, distinct_per_row, hashes, in_batches, mix, runs, slices, store, sums_between, texts_of,
+    LOWER, NARROW_ROWS, SPACE, arrow_rows, bytes_of, distinct_per_row, hashes, in_batches, mix, runs, slices, store, sums_between, texts_of,
 )
 
 # Rows of a block of the matrix, and queries that one task holds against a block.
@@ -392,6 +392,8 @@ def _found(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, at, n_shingles, key, root, component_id`` of every row."""
     if not 50 <= percent < 100 or width < 1:
         raise ValueError("width must be positive and percent from 50 to 99")
+    # Only texts travel, without their rows.
+    arrow_rows(docs, NARROW_ROWS)
     docs = docs.select("doc_id", "text")
     found = store(sets(docs, width), "sets")
     reps = found.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("at").alias("at"))

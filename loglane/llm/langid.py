@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglane.llm.shared import in_batches, slices, store, texts_of
+from loglane.llm.shared import TEXT_ROWS, arrow_rows, gathered, slices, store, texts_in, texts_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 # Longer runs of letters are cut into parts of this length; no piece crosses a cut.
@@ -222,6 +222,7 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Model:
 
     What reaches the driver is a number per piece and language, whatever the input's size.
     """
+    arrow_rows(docs, TEXT_ROWS)
     words = store(_word_counts(docs.select("text", "lang").filter("text is not null and lang is not null")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
     languages = [r["lang"] for r in totals]
@@ -236,7 +237,7 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Model:
             vocab, table = Pieces(*now.value[0]), now.value[1]
             number = {k: i for i, k in enumerate(languages)}
             sums = np.zeros((vocab.size, len(languages)))
-            for batch in batches:
+            for batch in gathered(batches):
                 names = np.array([number[x] for x in batch.column(0).to_pylist()])
                 words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
                 for k in np.unique(names):
@@ -263,9 +264,9 @@ def predict(docs: DataFrame, pieces: Pieces, model: Model, prior: float = 0.0) -
     or have no letter, and all texts if no language was learned, get ``und`` and score 0. Ties go to the first
     language by code point.
     """
+    arrow_rows(docs, TEXT_ROWS)
     shared = docs.sparkSession.sparkContext.broadcast((astuple(pieces), astuple(model)))  # plain values: workers need not have the package
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.col("row.text").cast("string").alias("text"))
 
     def fn(batches):
         vocab, model = Pieces(*shared.value[0]), Model(*shared.value[1])
@@ -273,7 +274,7 @@ def predict(docs: DataFrame, pieces: Pieces, model: Model, prior: float = 0.0) -
         scores = np.zeros((0, len(model.languages)))
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
-            texts, best, share = texts_of(batch, "text"), [], []
+            texts, best, share = texts_in(batch.column(0)), [], []
             for at, to in slices(texts):
                 docs_words = [words_of(t) for t in texts[at:to].to_pylist()] if model.languages else [[]] * (to - at)
                 if len(known) > REMEMBER:

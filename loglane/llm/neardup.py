@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglane.llm.components import components
-from loglane.llm.shared import in_batches, store
+from loglane.llm.shared import NARROW_ROWS, arrow_rows, in_batches, store
 
 TABLES, HASHES, PROBES = 6, 2, 4
 # Vectors of a part of a bucket.
@@ -210,6 +210,7 @@ def near_duplicates(
     """
     if not 0 < least <= 1 or not 1 <= probes <= 1 << hashes:
         raise ValueError("least must be over 0 and at most 1, probes at most 2 to the power of hashes")
+    arrow_rows(rows, NARROW_ROWS)
     found = store(_nodes(rows), "vectors")
     nodes = found.filter("node is not null").groupBy("node").agg(
         F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglane.llm.shared import (
-    LOWER, NEWLINE, SPACE, bytes_of, distinct_per_row, hashes, in_batches, runs, slices, store, sums_between, texts_of,
+    LOWER, NEWLINE, SPACE, TEXT_ROWS, arrow_rows, bytes_of, distinct_per_row, hashes, in_batches, runs, slices, store,
+    sums_between, texts_in,
 )
 
 TRAIN_ROWS = 50_000
@@ -93,15 +94,15 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` under ``row``, and the statistics of its ``text`` as an array ``stats``."""
 
     def fn(batch: pa.RecordBatch) -> pa.Table:
-        texts = texts_of(batch, "text")
+        texts = texts_in(batch.column(0))
         rows = np.concatenate([statistics(*bytes_of(texts, at, to)) for at, to in slices(texts)])
         stats = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
         return pa.table({"row": batch.column(0), "stats": stats})
 
     from pyspark.sql import types as T
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    df = docs.select(row).select("row", F.col("row.text").cast("string").alias("text"))
+    arrow_rows(docs, TEXT_ROWS)
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return df.mapInArrow(in_batches(fn, ""), T.StructType([df.schema["row"], T.StructField("stats", T.ArrayType(T.DoubleType()))]))
 
 
