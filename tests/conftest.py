@@ -1,15 +1,14 @@
 import os
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from pyspark.sql import SparkSession  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
 
-T0 = datetime(2024, 3, 15, 9, 0, 0)
+from helpers import SCHEMA, T0  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -28,16 +27,6 @@ def spark():
     s.stop()
 
 
-SCHEMA = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("service", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("ts", T.TimestampNTZType()),
-    ]
-)
-
-
 @pytest.fixture
 def logs(spark):
     """Log table from ``(service, text)`` or ``(service, text, seconds)`` tuples."""
@@ -50,7 +39,3 @@ def logs(spark):
         return spark.createDataFrame(data, SCHEMA)
 
     return make
-
-
-def texts(df):
-    return [r["text"] for r in df.orderBy("seq").collect()]

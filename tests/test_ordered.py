@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import SCHEMA, T0, texts
+from helpers import SCHEMA, T0, texts
 from pyspark.sql import functions as F
 
 import interpreters as it

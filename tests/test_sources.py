@@ -4,7 +4,7 @@ import os
 from datetime import datetime
 
 import pytest
-from conftest import T0, texts
+from helpers import T0, texts
 from pyspark.sql import functions as F
 
 from loglane.operators import aggregates as ag

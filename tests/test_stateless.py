@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import T0, texts
+from helpers import T0, texts
 from pyspark.sql import functions as F
 
 import interpreters as it
