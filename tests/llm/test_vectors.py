@@ -12,6 +12,8 @@ SCHEMA = "vec_id long, embedding array<double>, node string, copies string"
 def brute(rows, least=0.95):
     groups, ids = Groups(len(rows)), [r[0] for r in rows]
     vectors = [np.array(v, float) if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v) else None for _, v in rows]
+    # Scaled first, so that no square overflows or vanishes.
+    vectors = [v if v is None else v / np.abs(v).max() for v in vectors]
     links = [0] * len(rows)
     for i, a in enumerate(vectors):
         for j, b in enumerate(vectors[:i]):
