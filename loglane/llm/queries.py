@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, dac, html, jaccard, langid, mixing, mlm, neardup, quality, rules
+from loglane.llm import bpe, dac, decontam, html, jaccard, langid, mixing, mlm, neardup, quality, rules
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     rows = mlm.pseudo_likelihood(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("row.doc_id", "n_tokens", "log_likelihood", "score")
+
+
+@query("op11_suffix_automaton", decontam.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")
+    n_items = F.size("items").cast("long").alias("n_items")
+    return rows.select("row.doc_id", "n_words", "n_hit", n_items, digest, (F.col("n_hit") > 0).alias("contaminated"))
