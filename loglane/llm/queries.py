@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, dac, decontam, html, jaccard, langid, mixing, mlm, neardup, quality, rules
+from loglane.llm import bpe, dac, decontam, html, jaccard, langid, mixing, mlm, neardup, quality, rules, spelling
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")
     n_items = F.size("items").cast("long").alias("n_items")
     return rows.select("row.doc_id", "n_words", "n_hit", n_items, digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(spelling.counted(table(spark, folder, "documents"), drop_every=199))
