@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglane.llm import bpe, dac, decontam, html, jaccard, langid, mixing, mlm, neardup, quality, rules, spelling
+from loglane.llm import bpe, dac, decontam, html, jaccard, langid, mixing, mlm, neardup, quality, rules, spelling, whitening
 from loglane.llm.shared import crc_mod, store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_variants", spelling.SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.grouped(spelling.counted(table(spark, folder, "documents"), drop_every=199))
+
+
+@query("op13_qd_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    rows = rows.select("row.vec_id", F.posexplode("whitened").alias("place", "whitened"), "n", "deviation", "explained", "identity_error")
+    return rows.select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened",
+        F.col("explained")[F.col("place")].alias("explained"), "identity_error",
+    )
