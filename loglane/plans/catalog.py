@@ -105,6 +105,29 @@ simple(
     "drift_fuzzy", v.logs, lambda df: dr.drift(df, "fuzzy", 0.8),
     _FUZZY.format(norm=NORM, view="logs", threshold=0.8), "seq", "drift",
 )
+# The same, in two steps: against the first 200 forms, and what is left against all.
+_FUZZY_MANY = """WITH d AS MATERIALIZED (SELECT {norm} AS norm, min(seq) AS s FROM {view} GROUP BY 1),
+    g AS MATERIALIZED (SELECT s, substr(h, 2 * i + 1, 4) AS g, count(*) AS c
+          FROM (SELECT s, hex(encode(norm)) AS h, unnest(range(0, strlen(norm) - 1)) AS i FROM d) GROUP BY ALL),
+    c AS MATERIALIZED (SELECT s, count(*) AS d FROM g GROUP BY s),
+    few AS (SELECT s FROM c ORDER BY s LIMIT 200),
+    near AS (SELECT a.s AS a, b.s AS b, sum(least(a.c, b.c)) AS n FROM g a JOIN (SELECT * FROM g WHERE s IN (FROM few)) b
+             ON a.g = b.g AND b.s < a.s GROUP BY ALL),
+    early AS MATERIALIZED (SELECT DISTINCT a FROM near JOIN c ca ON ca.s = a JOIN c cb ON cb.s = b
+              WHERE (2 * n)::DOUBLE / (ca.d + cb.d)::DOUBLE >= {threshold}),
+    rest AS (SELECT a.s AS a, b.s AS b, sum(least(a.c, b.c)) AS n FROM (SELECT * FROM g WHERE s NOT IN (FROM early)) a JOIN g b
+             ON a.g = b.g AND b.s < a.s GROUP BY ALL),
+    known AS (FROM early UNION SELECT a FROM rest JOIN c ca ON ca.s = a JOIN c cb ON cb.s = b
+              WHERE (2 * n)::DOUBLE / (ca.d + cb.d)::DOUBLE >= {threshold})
+    SELECT seq, seq IN (SELECT s FROM d) AND seq NOT IN (SELECT a FROM known) AS drift FROM {view}"""
+simple(
+    "drift_fuzzy_logs_msg", v.logs_msg, lambda df: dr.drift(df, "fuzzy", 0.8),
+    _FUZZY_MANY.format(norm=NORM, view="logs_msg", threshold=0.8), "seq", "drift",
+)
+simple(
+    "drift_fuzzy_doc_lines", v.doc_lines, lambda df: dr.drift(df, "fuzzy", 0.8),
+    _FUZZY_MANY.format(norm=NORM, view="doc_lines", threshold=0.8), "seq", "drift",
+)
 simple(
     "drift_fuzzy_turns", v.turns, lambda df: dr.drift(df, "fuzzy", 0.9),
     _FUZZY.format(norm=NORM, view="turns", threshold=0.9), "seq", "drift",

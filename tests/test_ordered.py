@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import interpreters as it
 from loglane.operators import aggregates as ag
 from loglane.operators import drift as dr
+from loglane.operators import fuzzy
 from loglane.operators import grouping as gr
 from loglane.operators import ordered as od
 from loglane.plans import chunks as ch
@@ -181,6 +182,32 @@ def test_fuzzy_drift(spark, seed, threshold):
     assert sorted((r["seq"], r["drift"]) for r in out.collect()) == it.drift(lines, threshold)
 
 
+@pytest.mark.parametrize("short", [6, 25, 512])
+def test_fuzzy_search_in_small_parts(spark, monkeypatch, short):
+    """Without likely partners, with long texts, split tokens, split blocks and small matrices: nothing is lost."""
+    for name, value in dict(SHORT=short, GROUP_ROWS=3, BUCKET_ROWS=8, BLOCK_TOKENS=60, CELLS=32, POSTINGS=5, SLICE=64).items():
+        monkeypatch.setattr(fuzzy, name, value)
+    monkeypatch.setattr(fuzzy, "_likely_pairs", lambda sets, norms: sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    rnd = random.Random(short)
+    stems = ["".join(rnd.choices("abcdeé ", k=rnd.choice([3, 12, 40]))) for _ in range(25)]
+    lines = []
+    for i in range(110):
+        text = list(rnd.choice(stems))
+        for _ in range(rnd.randrange(4)):
+            text[rnd.randrange(len(text))] = rnd.choice("abcxyz")
+        lines.append({"seq": i, "service": "s", "text": "".join(text) * rnd.choice([1, 1, 1, 2]), "us": i})
+    lines += [{"seq": 200 + i, "service": "s", "text": t, "us": 200} for i, t in enumerate(["", None, "q", "ab" * 40, "ab" * 41, "ba" * 700])]
+    for threshold in (0.55, 0.9):
+        out = dr.drift(table(spark, lines), "fuzzy", threshold)
+        assert sorted((r["seq"], r["drift"]) for r in out.collect()) == it.drift(lines, threshold)
+
+
+def test_tokens_number_repeats():
+    owner, token = fuzzy.tokens_of([b"abab", b"", b"a", b"aaa", "é".encode()])
+    ab, ba, aa = (x[0] * 256 + x[1] for x in (b"ab", b"ba", b"aa"))
+    assert list(zip(owner.tolist(), token.tolist())) == [(0, ab), (0, ab + 65_536), (0, ba), (3, aa), (3, aa + 65_536), (4, 0xC3A9)]
+
+
 # --- chunks ---------------------------------------------------------------------------------------
 
 
