@@ -50,6 +50,18 @@ class Pattern:
     java: str
     groups: int
     names: dict[str, int] = field(hash=False)
+    # Whether it can match the empty text.
+    nullable: bool = False
+
+    @property
+    def replacing(self) -> str:
+        """The Java pattern for replacing all matches.
+
+        RE2 refuses an empty match where the match before ended, and goes on behind the next character; Java does
+        neither. The match is taken as it is (no other is tried), and it must not end where the last one did, unless
+        at the beginning of the text. No match begins between the two halves of a character.
+        """
+        return rf"(?![\uDC00-\uDFFF])(?>{self.java})(?:\A|(?!\G))" if self.nullable else self.java
 
 
 class _Rewriter:
@@ -62,6 +74,9 @@ class _Rewriter:
         # (?m) holds until its group closes, so the setting is a stack.
         self.multiline = [False]
         self.can_repeat = False
+        # Whether an earlier alternative, the atoms so far, and the last atom can be empty, for each open group.
+        self.empty_before, self.empty_so_far = [False], [True]
+        self.empty_atom = True
 
     def fail(self, why: str) -> None:
         raise ValueError(f"invalid pattern {self.source!r}: {why}")
@@ -72,16 +87,31 @@ class _Rewriter:
             self.at = m.end()
         return m
 
-    def atom(self, text: str) -> None:
+    def atom(self, text: str, can_be_empty: bool = False) -> None:
         self.out.append(text)
         self.can_repeat = True
+        self.next_atom(can_be_empty)
+
+    def next_atom(self, can_be_empty: bool) -> None:
+        self.empty_so_far[-1] &= self.empty_atom
+        self.empty_atom = can_be_empty
+
+    def end_alternatives(self) -> bool:
+        """Whether the innermost open group can be empty, when it ends."""
+        return self.empty_before.pop() | (self.empty_so_far.pop() & self.empty_atom)
 
     def run(self) -> Pattern:
         src = self.source
         while self.at < len(src):
             ch = src[self.at]
             if ch == "\\":
-                self.atom(self.escape(in_class=False))
+                begin = self.at
+                text = self.escape(in_class=False)
+                literal = src.startswith("\\Q", begin)
+                if literal and len(text) > 2:
+                    # A repetition after a quoted literal is one of its last character.
+                    self.next_atom(False)
+                self.atom(text, src[begin + 1] in "bBAz" or (literal and not text))
             elif ch == "[":
                 self.atom(self.bracket())
             elif ch == "(":
@@ -91,7 +121,8 @@ class _Rewriter:
                     self.fail("unexpected )")
                 self.multiline.pop()
                 self.at += 1
-                self.atom(")")
+                empty, self.empty_atom = self.end_alternatives(), True
+                self.atom(")", empty)
             elif ch in "*+?":
                 self.repeat(ch)
             elif ch == "{":
@@ -107,7 +138,7 @@ class _Rewriter:
         if len(self.multiline) != 1:
             self.fail("missing )")
         # (?d): only \n ends a line, as in RE2.
-        return Pattern(src, "(?d)" + "".join(self.out), self.groups, self.names)
+        return Pattern(src, "(?d)" + "".join(self.out), self.groups, self.names, self.end_alternatives())
 
     def plain(self, ch: str) -> None:
         multi = self.multiline[-1]
@@ -118,10 +149,13 @@ class _Rewriter:
         elif ch == "|":
             self.out.append("|")
             self.can_repeat = False
+            self.empty_before[-1] |= self.empty_so_far[-1] & self.empty_atom
+            self.empty_so_far[-1] = self.empty_atom = True
             return
         else:
             self.out.append("\\" + ch if ch in "]}" else ch)
         self.can_repeat = True
+        self.next_atom(ch in "^$")
 
     def suffix(self, text: str) -> None:
         if not self.can_repeat:
@@ -138,12 +172,20 @@ class _Rewriter:
     def repeat(self, ch: str) -> None:
         self.at += 1
         self.suffix(ch)
+        self.empty_atom |= ch in "*?"
 
     def counted(self, m: re.Match) -> None:
         low, high = int(m[1]), int(m[3]) if m[3] else None
         if max(low, high or 0) > 1000 or (high is not None and high < low):
             self.fail(f"invalid repeat count {m[0]}")
         self.suffix(m[0])
+        self.empty_atom |= low == 0
+
+    def enter(self) -> None:
+        """The atoms of a group are counted apart."""
+        self.next_atom(True)
+        self.empty_before.append(False)
+        self.empty_so_far.append(True)
 
     def open_group(self) -> None:
         self.at += 1
@@ -151,6 +193,7 @@ class _Rewriter:
         if self.source[self.at : self.at + 1] != "?":
             self.groups += 1
             self.multiline.append(self.multiline[-1])
+            self.enter()
             self.out.append("(")
             return
         named = self.take(_GROUP_NAME)
@@ -160,6 +203,7 @@ class _Rewriter:
             self.groups += 1
             self.names[named[1]] = self.groups
             self.multiline.append(self.multiline[-1])
+            self.enter()
             self.out.append("(")
             return
         flags = self.take(_FLAGS)
@@ -176,6 +220,7 @@ class _Rewriter:
         text = "?" + keep_on + ("-" + keep_off if keep_off else "")
         if end == ":":
             self.multiline.append(multi)
+            self.enter()
             self.out.append("(" + text + ":")
         else:
             self.multiline[-1] = multi
@@ -314,4 +359,4 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
 
 def replace_all(text: Column, pattern: str, template: str) -> Column:
     p = translate(pattern)
-    return F.regexp_replace(text, F.lit(p.java), F.lit(translate_replacement(template, p)))
+    return F.regexp_replace(text, F.lit(p.replacing), F.lit(translate_replacement(template, p)))

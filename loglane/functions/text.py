@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Terminal control sequences, and the shorter set that only changes colours.
 CONTROL_CODES = r"\x1B\[[0-9;]*[a-zA-Z]"
@@ -132,8 +133,39 @@ def key_value_field(text: Column, name: str) -> Column:
     return F.regexp_replace(F.try_element_at(hits, F.lit(-1))["v"], F.lit(r'^"+|"+\z'), F.lit(""))
 
 
+# Marks that stand for an escape, a string and a value while JSON is checked; no JSON has these characters itself.
+_ESCAPE, _STRING, _VALUE = "\x01", "\x02", "\x03"
+# What JSON allows as escapes, numbers and names.
+JSON_ESCAPE = r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})'
+JSON_SCALAR = r"(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)"
+
+
+def is_json_container(text: Column) -> Column:
+    """The text, without outer white space, is a JSON object or array; null for null.
+
+    Strings and other scalars become marks, and then containers of marks alone become marks, innermost first, until
+    nothing changes: only JSON ends as one mark. Keys may repeat.
+    """
+    body = strip_space(text)
+    # Control characters other than white space have no place in JSON, so they can serve as marks.
+    plain = ~body.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") & body.rlike(r"\A[{\[]")
+    marked = F.regexp_replace(body, F.lit(JSON_ESCAPE), F.lit(_ESCAPE))
+    marked = F.regexp_replace(marked, F.lit(r'"[^"\\\t\n\r]*+"'), F.lit(_STRING))
+    marked = F.regexp_replace(marked, F.lit(rf"(?<![^\[,:\t\n\r ]){JSON_SCALAR}(?![^\],}}\t\n\r ])"), F.lit(_VALUE))
+    marked = F.regexp_replace(marked, F.lit(r"[\t\n\r ]++"), F.lit(""))
+    any_value = f"[{_STRING}{_VALUE}]"
+    array = rf"\[(?:{any_value}(?:,{any_value})*+)?+\]"
+    entry = f"{_STRING}:{any_value}"
+    container = F.lit(rf"{array}|\{{(?:{entry}(?:,{entry})*+)?+\}}")
+    # One round for each level would do; their number is at most that of containers, and idle rounds cost little.
+    levels = F.regexp_count(marked, F.lit(r"[\[{]"))
+    rounds = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    left = F.aggregate(rounds, marked, lambda acc, _: F.when(acc == _VALUE, acc).otherwise(F.regexp_replace(acc, container, F.lit(_VALUE))))
+    return F.when(plain, left == _VALUE).when(text.isNotNull(), F.lit(False))
+
+
 def json_field(text: Column, name: str) -> Column:
-    """A top-level field of a JSON object as text; null if absent, null or not an object."""
-    path = "$['" + name.replace("'", "\\'") + "']"
-    is_object = F.try_parse_json(text).isNotNull() & strip_space(text).startswith("{")
-    return F.when(is_object, F.get_json_object(text, path))
+    """A top-level field of a JSON object as text; null if absent, null or not an object; the last of several."""
+    body = strip_space(text)
+    value = F.from_json(body, T.StructType([T.StructField(name, T.StringType())])).getField(name)
+    return F.when(is_json_container(text) & body.startswith("{"), value)

@@ -164,17 +164,10 @@ def highlight(
     for pattern, mark in rules:
         opening = f"\x1b[{mark}m" if codes else mark
         wrapped = literal_replacement(opening) + "$0" + literal_replacement(closing)
-        text = F.regexp_replace(text, F.lit(translate(pattern).java), F.lit(wrapped))
+        text = F.regexp_replace(text, F.lit(translate(pattern).replacing), F.lit(wrapped))
     return _set(df, text)
 
 
-def highlight_summary(rules: list[tuple[str, str]]) -> str:
-    """One line that names the active rules."""
-    if not rules:
-        return "no highlight rules"
-    return f"{len(rules)} rule(s): {', '.join(p for p, _ in rules)}"
-
-
 def extract_fields(df: DataFrame, fields: list[str], *, json: bool = False) -> DataFrame:
     """Add ``fields``: a map of the wanted key=value or JSON fields found in the text."""
     require(df, "text")
@@ -212,10 +205,14 @@ def json_pretty(df: DataFrame, indent: str = "  ") -> DataFrame:
 
 
 def parse_json(df: DataFrame) -> DataFrame:
-    """Add ``json`` (VARIANT) and ``is_json`` for texts that are JSON objects or arrays."""
+    """Add ``json`` (VARIANT) and ``is_json`` for texts that are JSON objects or arrays.
+
+    ``json`` is null for texts that are not, and where an object has a key twice, which VARIANT does not hold.
+    """
     require(df, "text")
-    value = F.when(F.col("text").rlike(r"(?U)^\s*[{\[]"), F.try_parse_json(F.col("text")))
-    return df.withColumn("json", value).withColumn("is_json", F.col("json").isNotNull())
+    is_json = F.coalesce(tx.is_json_container(F.col("text")), F.lit(False))
+    df = df.withColumn("is_json", is_json)
+    return df.withColumn("json", F.when(F.col("is_json"), F.try_parse_json(tx.strip_space(F.col("text")))))
 
 
 def render(df: DataFrame) -> DataFrame:

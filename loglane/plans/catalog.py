@@ -285,6 +285,11 @@ simple(
     r"""SELECT seq, regexp_replace(regexp_replace(text, 'user=\d+', '[MASKED]', 'g'), '\d+$', '[MASKED]', 'g') AS text FROM logs_msg""",
     "seq", "text",
 )
+simple(
+    "mask_empty_matches", v.doc_lines, lambda df: tf.mask(df, ["[aeiou]*", r"(?i)t?\b"], "_"),
+    r"""SELECT seq, regexp_replace(regexp_replace(text, '[aeiou]*', '_', 'g'), '(?i)t?\b', '_', 'g') AS text FROM doc_lines""",
+    "seq", "text",
+)
 simple(
     "redact", v.doc_lines,
     lambda df: tf.redact(df, [(r"(?P<name>[\w.]+)@([\w.]+)", "<${2}>"), (r"(\d\d)\d+", "$1#$$"), (r"\bthe\b", "$nope")]),
@@ -415,6 +420,21 @@ simple(
     "parse_json", v.logs, tf.parse_json, "SELECT seq, json_valid(text) AS is_json FROM logs", "seq", "is_json"
 )
 
+
+
+def _odd_json(spark, folder):
+    """A repeated key, text after the end, a list, and the text as it is, by turns."""
+    text, turn = F.col("text"), F.col("seq") % 4
+    odd = F.when(turn == 0, F.concat(F.lit('{"k": 0, '), F.substr("text", F.lit(2)))).when(turn == 1, F.concat(text, F.lit(" x")))
+    return v.logs(spark, folder).withColumn("text", odd.when(turn == 2, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text))
+
+
+simple("parse_json_odd", _odd_json, tf.parse_json, "SELECT seq, seq % 4 <> 1 AS is_json FROM logs", "seq", "is_json")
+simple(
+    "extract_json_odd", _odd_json, lambda df: tf.extract_fields(df, ["k"], json=True).select("seq", _field("k")),
+    "SELECT seq, CASE WHEN seq % 4 IN (0, 3) THEN json_extract_string(text, '$.k') END AS k FROM logs",
+)
+
 # --- counts ------------------------------------------------------------------------------------------------
 
 simple(

@@ -1,5 +1,7 @@
 """Pattern rewriting, checked against an engine with RE2 syntax."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +80,30 @@ def test_groups():
     p = translate("(a)(?:b)(?P<c>d)")
     assert p.groups == 2 and p.names == {"c": 2}
     assert translate_replacement("$c-$1", p) == "$2-$1"
+
+
+def test_empty_matches_are_refused_where_the_last_one_ended(spark):
+    """Random patterns that can match nothing, against RE2."""
+    rnd = random.Random(3)
+
+    def pattern(depth):
+        kind = rnd.randrange(7 if depth else 3)
+        if kind < 3:
+            return rnd.choice(["a", "b", "c", "^", "$", ".", r"\b", "[ab]", r"\Qab\E"])
+        if kind == 3:
+            return pattern(depth - 1) + pattern(depth - 1)
+        if kind < 6:
+            inner = pattern(depth - 1) + ("|" + pattern(depth - 1)) * (kind == 4)
+            return rnd.choice(["(?:", "(", "(?i:", "(?P<n%d>" % rnd.randrange(10**9)]) + inner + ")" + rnd.choice(["", "?", "+", "{0,2}"])
+        return rnd.choice("abc.") + rnd.choice(["*", "?", "*?", "+", "{0}", "{0,1}"])
+
+    patterns = sorted({pattern(3) for _ in range(150)} | {"", "a*", "x?|b", r"\Qab\E*", "(|a)+"})
+    texts = ["baac", "", "aab c", "𝄞a", "é\nz a", " cab", "abab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for at in range(0, len(patterns), 40):
+        some = patterns[at : at + 40]
+        for row in df.select("t", *[replace_all(F.col("t"), p, "-").alias(f"c{i}") for i, p in enumerate(some)]).collect():
+            for p, got in zip(some, row[1:], strict=True):
+                assert got == duckdb.execute("SELECT regexp_replace(?, ?, '-', 'g')", [row[0], p]).fetchone()[0], (p, row[0])
+    nullable = {"a*": True, "a+": False, "(a|)b": False, "(a|)b?": True, "a{0,3}": True, "a{1}": False, "^$": True, "(?i)(a?)*": True, "a|b*": True, "[a]|.": False}
+    assert {p: translate(p).nullable for p in nullable} == nullable

@@ -1,5 +1,7 @@
 """Filters, transforms and counts: literal cases, null text, parameter checks."""
 
+import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -148,8 +150,6 @@ def test_columns(logs):
 def test_highlight(logs):
     assert one(lambda d: tf.highlight(d, [("err", "31")]), logs, "err x err") == "\x1b[31merr\x1b[0m x \x1b[31merr\x1b[0m"
     assert one(lambda d: tf.highlight(d, [("a", "$1\\")], "$", codes=False), logs, "a") == "$1\\a$"
-    assert tf.highlight_summary([]) == "no highlight rules"
-    assert tf.highlight_summary([("a", "1"), ("b", "2")]) == "2 rule(s): a, b"
 
 
 def test_extract_fields(logs):
@@ -253,3 +253,35 @@ def test_alerts(logs):
 def test_bad_parameters(logs, call):
     with pytest.raises(ValueError):
         call(logs([("s", "x")]))
+
+
+def _is_json(t):
+    """What the JSON of the standard says, by Python's parser; NaN and the like are refused."""
+
+    def refuse(name):
+        raise ValueError(name)
+
+    body = t.strip(tx.WHITE_SPACE)
+    if not body.startswith(("{", "[")):
+        return False
+    try:
+        json.loads(body, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def test_json_lines_may_repeat_keys_and_must_be_whole(spark):
+    rnd = random.Random(3)
+    texts = ['{"k":1,"k":2}', '{"k":1} x', "[1,2]\u00a0", '["a\\qb", "c"]', '["a\nb","c"]', "[v]", '{"a":01}', "[NaN]", "[1.]", "[-0,-1.5E+3]", "\x01", '["\x02"]']
+    texts += ['{"k":"' + "x\\n" * 9000 + '"}', "[" * 300 + "]" * 300, "[[1]", "[1]]", '{"k":"\\u12"}', "", '{"a":{"k":5}, "k" : {"z":[]} }']
+    texts += ["".join(rnd.choices(list('{}[],: 1') + ['"a"', '"k"', "true", '"\\n"'], k=rnd.randrange(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq int, text string")
+    got = tf.extract_fields(tf.parse_json(df), ["k", "none"], json=True).orderBy("seq").collect()
+    for r in got:
+        assert r.is_json == _is_json(r.text), r.text
+        value = json.loads(r.text.strip(tx.WHITE_SPACE)).get("k") if r.is_json and r.text.strip().startswith("{") else None
+        assert ("k" in r.fields) == (value is not None), r.text
+    assert got[0].fields == {"k": "2"} and got[0].json is None and got[0].is_json
+    assert got[18].fields == {"k": '{"z":[]}'}
+    assert [r.is_json for r in tf.parse_json(spark.createDataFrame([(None,)], "text string")).collect()] == [False]
