@@ -321,6 +321,88 @@ def translate(pattern: str) -> Pattern:
     return _Rewriter(pattern).run()
 
 
+_CLASS = re.compile(r"\[\^?\]?(?:\[:\^?[a-z]+:\]|\\.|[^\]\\])*\]", re.S)
+_TIMES = re.compile(r"(\*|\?|\+|\{(\d+)(?:,\d*)?\})\??")
+
+
+def _group_end(source: str, at: int) -> int:
+    """Where the group that opens at ``at`` ends."""
+    depth = 0
+    while True:
+        skip = _CLASS.match(source, at) if source[at] == "[" else None
+        if source.startswith(r"\Q", at):
+            end = source.find(r"\E", at)
+            at = end + 2 if end >= 0 else len(source)
+        elif skip:
+            at = skip.end()
+        else:
+            depth += (source[at] == "(") - (source[at] == ")")
+            at += 2 if source[at] == "\\" else 1
+            if not depth:
+                return at
+
+
+def required_literals(pattern: str) -> list[str]:
+    """Texts of which every match has one: the longest plain run of each alternative; none if an alternative has none.
+
+    Found in the pattern's outermost level; what ignores case, and what a repetition can leave out, does not count.
+    """
+    translate(pattern)
+    if re.search(r"\(\?[a-zA-Z]*i", pattern):
+        return []
+    longest, runs, run, at = [], [], "", 0
+
+    def ended() -> None:
+        nonlocal run
+        runs.append(run)
+        run = ""
+
+    while at < len(pattern):
+        ch, text = pattern[at], None
+        if ch == "|":
+            ended()
+            longest.append(max(runs, key=len))
+            runs, at = [], at + 1
+            continue
+        if ch in "^$" or pattern[at : at + 2] in (r"\b", r"\B", r"\A", r"\z"):
+            # Takes no character, so the run goes on.
+            text, at = "", at + (2 if ch == "\\" else 1)
+        elif ch == "(":
+            at = _group_end(pattern, at)
+        elif ch == "[":
+            at = _CLASS.match(pattern, at).end()
+        elif pattern.startswith(r"\Q", at):
+            end = pattern.find(r"\E", at)
+            text, at = pattern[at + 2 : end if end >= 0 else None], end + 2 if end >= 0 else len(pattern)
+        elif ch == "\\":
+            # Escaped signs stand for themselves; letters and digits are classes, codes or controls.
+            nxt = pattern[at + 1]
+            text = None if nxt.isalnum() else nxt
+            at += 2
+            if nxt in "pPx" and pattern[at : at + 1] == "{":
+                at = pattern.index("}", at) + 1
+            elif nxt == "x":
+                at += 2
+            elif nxt in "pP":
+                at += 2 if pattern[at] == "^" else 1
+        else:
+            text, at = (None if ch == "." else ch), at + 1
+        times = _TIMES.match(pattern, at)
+        if times:
+            at = times.end()
+            optional = times[1] in ("*", "?") or times[2] == "0" or (times[2] or "1").strip("0") == ""
+            # Only the last character is repeated; another round of it need not follow.
+            run += (text or "")[: -1 if optional and text else None]
+            ended()
+        elif text is None:
+            ended()
+        else:
+            run += text
+    ended()
+    longest.append(max(runs, key=len))
+    return longest if all(longest) else []
+
+
 def translate_replacement(template: str, pattern: Pattern) -> str:
     """Rewrite a replacement template (``$1``, ``${name}``, ``$$``) for ``regexp_replace``.
 

@@ -15,6 +15,7 @@ from loglane.operators import drift as dr
 from loglane.operators import filters as fl
 from loglane.operators import grouping as gr
 from loglane.operators import ordered as od
+from loglane.operators import rules
 from loglane.operators import transforms as tf
 from loglane.plans import views as v
 from loglane.plans.lineage import ensure_checkpoint_dir
@@ -462,6 +463,31 @@ simple(
     f"""SELECT rule, service, count(*) AS count, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end
         FROM ({_RULES_SQL}) GROUP BY rule, service, window_end""",
 )
+
+
+def _rules(spark, folder):
+    """A rule for each pair of user and number that occurs, two alternatives for each user, and two without a literal."""
+    pairs = tf.extract_fields(v.logs_msg(spark, folder), ["user", "k"]).select("fields.user", "fields.k").distinct()
+    users = pairs.select("user").distinct()
+    line, of_user = F.concat(F.lit("user="), "user"), F.concat(F.lit("^ERROR user="), "user", F.lit(r"\b|^WARN user="), "user", F.lit(" k"))
+    single = pairs.select(F.concat(F.lit("u"), "user", F.lit("k"), "k").alias("rule"), F.concat(line, F.lit(r" [a-z]="), "k", F.lit("$")).alias("pattern"))
+    alike = spark.createDataFrame([("level", r"^(?:ERROR|INFO) \D+\d+ "), ("case", "(?i)^warn")], "rule string, pattern string")
+    return single.unionByName(users.select(F.concat(F.lit("bad"), "user").alias("rule"), of_user.alias("pattern"))).unionByName(alike)
+
+
+@query(
+    "table_alerts",
+    r"""WITH p AS (SELECT seq, service, text, regexp_extract(text, 'user=(\d+)', 1) AS u, regexp_extract(text, 'k=(\d+)', 1) AS k FROM logs_msg)
+        SELECT 'u' || u || 'k' || k AS rule, service, text AS line, seq FROM p
+        UNION ALL SELECT 'bad' || u, service, text, seq FROM p WHERE text LIKE 'ERROR%' OR text LIKE 'WARN%'
+        UNION ALL SELECT 'level', service, text, seq FROM p WHERE text LIKE 'ERROR%' OR text LIKE 'INFO%'
+        UNION ALL SELECT 'case', service, text, seq FROM p WHERE text LIKE 'WARN%'""",
+)
+def table_alerts(spark, folder):
+    """Some thousand rules against all lines."""
+    return rules.table_alerts(v.logs_msg(spark, folder), _rules(spark, folder))
+
+
 _ROLL = "count(*) OVER (PARTITION BY service ORDER BY ts RANGE BETWEEN INTERVAL {} PRECEDING AND CURRENT ROW) AS count"
 simple(
     "rolling_count", v.logs, lambda df: ag.rolling_count(df, "6 hours"),
