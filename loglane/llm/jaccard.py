@@ -11,10 +11,10 @@ The search then has two steps:
 1. Every class is compared with the least class it shares a segment with. This joins large families of near
    copies with one comparison or a few per member. Their components are the first result.
 2. Token-group matrix: classes are partitioned into groups (the leader they share most segments with, split by
-   component and, in order of size, into blocks). The matrix has a row for each (segment, group). A class of another
-   component whose segments meet a group's row queries that group: its overlap with the union of the group's
-   shingles bounds its overlap with every member, and only groups whose bound reaches the threshold are opened and
-   compared member by member.
+   component), and groups, in order of size, into blocks. The matrix has a row for each (segment, block). A class of
+   another component whose segments meet a block's row, and whose size is near that of the row's members, queries that
+   block: its overlap with the union of the block's shingles bounds its overlap with every member, and only blocks
+   whose bound reaches the threshold are opened and compared member by member.
 
 No pairs inside a component are enumerated and none outside are left out, so the components are exact, up to
 collisions of 64-bit hashes (for N different sets, odds of about N*N / 2**65 for one false merge).
@@ -309,29 +309,27 @@ def class_links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> D
     group = F.when(F.col("large"), F.xxhash64("comp")).otherwise(F.xxhash64("lead", F.lit(0)))
     own = store(own.select("key", "comp", "size", group.alias("grp")), "groups")
 
-    # The matrix of segments and groups, and the queries: classes of other components that meet a group's row.
-    # Of two groups only the lesser queries the other.
-    marked = store(shared.join(own.select("key", "comp", "grp"), "key"), "matrix")
-    row = marked.groupBy("seg", "grp").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-    several = row.groupBy("seg").agg(F.min("least").alias("x"), F.max("most").alias("y")).filter("x <> y").select("seg")
-    row = row.join(several, "seg")
-    asks = marked.join(row.withColumnRenamed("grp", "other"), "seg")
-    asks = asks.filter("grp <= other and (least <> comp or most <> comp)").select("key", "other").distinct()
-    asks = store(asks, "asks")
-
     # Blocks: within a group by size; a group may be large, so its blocks come from counted ranges of sizes.
     counts = own.groupBy("grp", "size").agg(F.count(F.lit(1)).alias("n"))
     by_size = Window.partitionBy("grp").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("range", F.floor((F.sum("n").over(by_size) - F.col("n")) / BLOCK_ROWS))
     counts = counts.withColumn("splits", F.ceil(F.col("n") / BLOCK_ROWS))
     split = F.pmod(F.xxhash64("key", F.lit(1)), F.col("splits"))
-    member = own.join(counts, ["grp", "size"]).select("key", "comp", "size", "grp", F.xxhash64("grp", "range", split).alias("block"))
-    member = member.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
+    member = own.join(counts, ["grp", "size"]).select("key", "comp", "size", F.xxhash64("grp", "range", split).alias("block"))
     member = store(member, "members")
-    blocks = member.groupBy("grp", "block").agg(F.min("size").alias("small"), F.max("size").alias("big"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    asks = asks.join(own.select("key", "comp", "size"), "key").withColumnRenamed("other", "grp").join(blocks, "grp")
-    fits = f"100 * size >= {percent} * small and 100 * big >= {percent} * size and (least <> comp or most <> comp)"
-    asks = asks.filter(fits).select("block", "key", "comp")
+
+    # The matrix of segments and blocks, and the queries: classes that meet a row with another component.
+    # Of two blocks only the lesser queries the other.
+    marked = store(shared.join(member, "key"), "matrix")
+    row = marked.groupBy("seg", "block").agg(
+        F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("size").alias("small"), F.max("size").alias("big")
+    )
+    several = row.groupBy("seg").agg(F.min("least").alias("x"), F.max("most").alias("y")).filter("x <> y").select("seg")
+    row = row.join(several, "seg").withColumnRenamed("block", "other")
+    fits = f"100 * size >= {percent} * small and 100 * big >= {percent} * size"
+    asks = marked.join(row, "seg").filter(f"block <= other and (least <> comp or most <> comp) and {fits}")
+    asks = store(asks.select(F.col("other").alias("block"), "key", "comp").distinct(), "asks")
+    member = member.join(asks.select("block").distinct(), "block", "left_semi")
     lots = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("lots"))
     lots = store(lots, "lots")
     asks = asks.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("key", F.lit(2)), F.col("lots"))).drop("lots")
