@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from loglane.functions.layouts import DEFAULT_LAYOUTS
 from loglane.functions.text import normal_form
 from loglane.operators.fuzzy import fuzzy_firsts
 from loglane.plans.lineage import broadcast_if_small, cut
+from loglane.operators.filters import cutoff_time
 from loglane.operators.filters import since as keep_since
 from loglane.schema import require
 
@@ -124,22 +125,24 @@ def two_service_diff(
     df: DataFrame,
     left: str,
     right: str,
-    cutoff: datetime | None = None,
+    cutoff: datetime | timedelta | str | None = None,
     *,
     layouts: tuple[str, ...] = DEFAULT_LAYOUTS,
     by_ts: bool = False,
+    now: datetime | None = None,
 ) -> DataFrame:
     """Normal forms of two services with counts: ``norm, left_count, right_count, side``.
 
-    ``side`` is ``left``, ``right`` or ``both``. With ``cutoff`` only lines since then count, by
-    their leading timestamp, or by ``ts`` with ``by_ts``.
+    ``side`` is ``left``, ``right`` or ``both``. With ``cutoff``, a time or a duration before ``now`` (see
+    ``since``), only lines since then count, by their leading timestamp, or by ``ts`` with ``by_ts``.
     """
     require(df, "service", "text")
     if not left or not right or left == right:
         raise ValueError("two_service_diff: two different services are required")
     df = df.filter(F.col("service").isin(left, right))
     if cutoff is not None:
-        df = df.filter(F.col("ts") >= F.lit(cutoff)) if by_ts else keep_since(df, cutoff, layouts)
+        cutoff = cutoff_time(cutoff, now)
+        df = df.filter(F.col("ts") >= F.lit(cutoff).cast(df.schema["ts"].dataType)) if by_ts else keep_since(df, cutoff, layouts)
 
     def count_of(service: str) -> Column:
         return F.count(F.when(F.col("service") == service, F.lit(1)))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglane.functions.layouts import DEFAULT_LAYOUTS, leading_time
 from loglane.functions.regex import matches_any, translate
-from loglane.schema import require
+from loglane.schema import duration_micros, require
 
 # Level names in rising order.
 LEVELS = ("debug", "info", "warn", "error")
@@ -58,15 +58,27 @@ def level_filter(df: DataFrame, minimum: str) -> DataFrame:
     return df.filter(level(F.col("text")) >= LEVELS.index(name))
 
 
+def cutoff_time(cutoff: datetime | timedelta | str, now: datetime | None = None) -> datetime:
+    """A time, or the time a duration such as ``10m`` before ``now`` (by default the clock's, once); without zone UTC."""
+    if isinstance(cutoff, (timedelta, str)):
+        span = duration_micros(cutoff, "since")
+        if span <= 0:
+            raise ValueError(f"since: a duration must be positive, got {cutoff!r}")
+        cutoff = (now or datetime.now(timezone.utc)) - timedelta(microseconds=span)
+    if not isinstance(cutoff, datetime):
+        raise ValueError("since: a cutoff time is required")
+    return cutoff.replace(tzinfo=timezone.utc) if cutoff.tzinfo is None else cutoff
+
+
 def since(
-    df: DataFrame, cutoff: datetime, layouts: tuple[str, ...] = DEFAULT_LAYOUTS
+    df: DataFrame, cutoff: datetime | timedelta | str, layouts: tuple[str, ...] = DEFAULT_LAYOUTS, *, now: datetime | None = None
 ) -> DataFrame:
-    """Keep lines whose leading timestamp is not before ``cutoff``, or that have none."""
+    """Keep lines whose leading timestamp is not before ``cutoff``, or that have none.
+
+    A duration (``10m``, ``1h30m``, a timedelta) counts back from ``now``, by default the time of the call.
+    """
     require(df, "text")
-    if not isinstance(cutoff, datetime):
-        raise ValueError("since: a cutoff time is required")
-    if cutoff.tzinfo is None:
-        cutoff = cutoff.replace(tzinfo=timezone.utc)
+    cutoff = cutoff_time(cutoff, now)
     at = leading_time(F.col("text"), tuple(layouts) or DEFAULT_LAYOUTS, cutoff.year)
     return df.filter(at.isNull() | (at >= F.lit(cutoff)))
 

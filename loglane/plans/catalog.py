@@ -19,7 +19,7 @@ from loglane.operators import rules
 from loglane.operators import transforms as tf
 from loglane.plans import views as v
 from loglane.plans.lineage import ensure_checkpoint_dir
-from loglane.sources import combine, snapshots, text as text_source
+from loglane.sources import archive, combine, sinks, snapshots, text as text_source
 from loglane.streaming import stateful, steps, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,12 @@ simple(
         OR date_trunc('second', ts) >= TIMESTAMP '2024-01-15 12:00:00'""",
     "seq", "service", "text",
 )
+simple(
+    "since_relative", v.stamped, lambda df: fl.since(df, "2h45m", now=datetime(2024, 1, 15, 14, 45)),
+    """SELECT seq, service, text FROM stamped WHERE service NOT IN ('error', 'purchase', 'signup')
+        OR date_trunc('second', ts) >= TIMESTAMP '2024-01-15 12:00:00'""",
+    "seq", "service", "text",
+)
 simple(
     "predicate", v.logs_msg, lambda df: fl.where(df, F.length("text") > 17),
     "SELECT seq, service, text FROM logs_msg WHERE length(text) > 17", "seq", "service", "text",
@@ -613,6 +619,14 @@ simple(
         SELECT *, CASE WHEN right_count = 0 THEN 'left' WHEN left_count = 0 THEN 'right' ELSE 'both' END AS side FROM c""",
 )
 
+simple(
+    "two_service_diff_relative", v.logs_msg,
+    lambda df: dr.two_service_diff(df, "svc1", "svc2", "240h", by_ts=True, now=datetime(2024, 1, 25)),
+    f"""WITH c AS (SELECT {NORM} AS norm, count(*) FILTER (service = 'svc1') AS left_count, count(*) FILTER (service = 'svc2') AS right_count
+        FROM logs_msg WHERE service IN ('svc1', 'svc2') AND ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
+        SELECT *, CASE WHEN right_count = 0 THEN 'left' WHEN left_count = 0 THEN 'right' ELSE 'both' END AS side FROM c""",
+)
+
 # --- sources and sinks ------------------------------------------------------------------------------------------------
 
 BUCKETS = [("errors", "^ERROR"), ("slow", "k=9"), ("people", "user=1")]
@@ -668,6 +682,46 @@ def checkpoint_resume(spark, folder):
     return snapshots.resume(df, snapshots.load_checkpoint(spark, path)).select("seq", "service", "text")
 
 
+@query(
+    "archive_resume",
+    f"""WITH m AS (SELECT (min(seq) + max(seq)) // 2 AS m FROM doc_lines),
+        o AS (SELECT *, {_BYTES} AS o FROM doc_lines),
+        c AS (SELECT service, sum(strlen(text) + 1) AS done FROM doc_lines, m WHERE seq <= m AND service <> 'en' GROUP BY 1)
+        SELECT seq, o.service, text, o.o AS "offset" FROM o LEFT JOIN c ON c.service = o.service WHERE o.o >= coalesce(done, 0)""",
+)
+def archive_resume(spark, folder):
+    """Keep all lines in two rounds, store how far one service less than all was read in the first, and read the rest."""
+    df = v.doc_lines(spark, folder)
+    middle = df.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).scalar()
+    path = scratch(spark) + "/archive"
+    archive.append_lines(df.filter(F.col("seq") <= middle), path, 0)
+    archive.append_lines(df.filter(F.col("seq") > middle), path, 1)
+    done = od.final_offsets(df.filter((F.col("seq") <= middle) & (F.col("service") != "en")))
+    stored = snapshots.set_offsets(snapshots.empty_checkpoint(spark), done)
+    return archive.resume_lines(spark, path, stored).select("seq", "service", "text", "offset")
+
+
+@query(
+    "write_buckets",
+    """SELECT seq, service, text, CASE WHEN regexp_matches(text, '^ERROR') THEN 'errors' WHEN regexp_matches(text, 'k=9') THEN 'slow'
+        WHEN regexp_matches(text, 'user=1') THEN 'people' ELSE 'other' END AS bucket FROM logs_msg""",
+)
+def write_buckets(spark, folder):
+    """Lines written under the folder of their bucket, by a stream, and read back."""
+    base = scratch(spark)
+    sinks.stream_buckets(_stream(spark, folder, v.logs_msg), BUCKETS, f"{base}/out", f"{base}/checkpoint", "other").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("seq", "service", "text", "bucket")
+
+
+@query("stream_snapshot", "SELECT service, text AS line, ts AS captured_at, count(*) AS n FROM logs_msg GROUP BY ALL")
+def stream_snapshot(spark, folder):
+    """The lines of a stream as a snapshot, read back."""
+    base = scratch(spark)
+    snapshots.stream_snapshot(_stream(spark, folder, v.logs_msg), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = snapshots.load_snapshot(spark, f"{base}/out").withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+    return rows.groupBy("service", "line", "captured_at").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "text_source",
     f"""SELECT service, text, row_number() OVER ({_SVC}) AS place FROM logs_msg""",

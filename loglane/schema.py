@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +68,12 @@ def from_micros(df: DataFrame, value: Column, like: str = "ts") -> Column:
 
 
 def duration_micros(value: timedelta | int | float | str, name: str = "duration") -> int:
-    """Accept a timedelta, seconds, or text such as ``'90 seconds'`` and return microseconds."""
+    """Accept a timedelta, seconds, or text such as ``'90 seconds'`` or ``'1h30m'``, and return microseconds."""
     if isinstance(value, str):
+        short = re.fullmatch(r"(?:\d+(?:\.\d+)?(?:h|ms|m|s|us))+", value)
+        if short:
+            sizes = {"us": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000}
+            return round(sum(float(n) * sizes[u] for n, u in re.findall(r"([\d.]+)([a-z]+)", value)))
         units = {
             "microsecond": 1,
             "millisecond": 1_000,

@@ -12,6 +12,7 @@ from loglane.operators.ordered import with_byte_offset
 from loglane.plans.lineage import broadcast_if_small
 from loglane.schema import require
 
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 SNAPSHOT_SCHEMA = "service string, line string, captured_at timestamp, created_at timestamp"
 CHECKPOINT_SCHEMA = "service string, offset bigint, updated_at timestamp"
 
@@ -30,8 +31,14 @@ def _writer(df: DataFrame, fmt: str, mode: str):
     if fmt not in ("json", "parquet"):
         raise ValueError(f"snapshot format must be json or parquet, got {fmt!r}")
     writer = df.write.mode(mode)
-    # Keep null fields, so that the entries read back as they were.
-    return writer.option("ignoreNullFields", "false").format(fmt) if fmt == "json" else writer.format(fmt)
+    return _entries(writer, fmt)
+
+
+def _entries(writer, fmt: str):
+    # Null fields and microseconds are kept, so that the entries read back as they were.
+    if fmt == "json":
+        writer = writer.option("ignoreNullFields", "false").option("timestampFormat", JSON_TIME)
+    return writer.format(fmt)
 
 
 def save_snapshot(
@@ -43,7 +50,7 @@ def save_snapshot(
 
 def stream_snapshot(df: DataFrame, path: str, checkpoint: str, fmt: str = "json"):
     """Write the lines of a stream as snapshot entries."""
-    out = collect_snapshot(df).writeStream.format(fmt).option("path", path)
+    out = _entries(collect_snapshot(df).writeStream, fmt).option("path", path)
     return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -11,7 +11,7 @@ from loglane.operators import aggregates as ag
 from loglane.operators import ordered as od
 from loglane.plans import lineage
 from loglane.schema import as_logs, duration_micros
-from loglane.sources import combine, sinks, snapshots, text
+from loglane.sources import archive, combine, sinks, snapshots, text
 
 
 def put(folder, name, body):
@@ -124,6 +124,35 @@ def test_resume(spark, logs):
     assert texts(snapshots.resume(df, stored)) == ["x", "678", "9"]
 
 
+def test_archive_opens_only_files_that_are_wanted(spark, logs, tmp_path):
+    path = str(tmp_path / "archive")
+    first = logs([(s, f"{s}{i}") for i in range(300) for s in "ab"])
+    second = logs([("a", "later"), ("c", None), ("c", "é")])
+    with pytest.raises(ValueError):
+        archive.append_lines(first, path, -1)
+    archive.append_lines(first, path, 0)
+    archive.append_lines(second, path, 1)
+    # Again, as after a failure: nothing is there twice.
+    archive.append_lines(second, path, 1)
+    ends = {r["service"]: r["offset"] for r in od.final_offsets(first).collect()}
+    whole = archive.resume_lines(spark, path, snapshots.empty_checkpoint(spark))
+    assert whole.count() == 603
+    stored = spark.createDataFrame([("a", ends["a"], T0), ("b", ends["b"] - 9, T0)], snapshots.CHECKPOINT_SCHEMA)
+    rest = archive.resume_lines(spark, path, stored)
+    assert sorted(((r["service"], r["text"], r["offset"]) for r in rest.collect()), key=repr) == [
+        ("a", "later", ends["a"]), ("b", "b299", ends["b"] - 5), ("c", "é", 1), ("c", None, 0)
+    ]
+    # Files that end before the stored offset are not in the scan, and nothing is sorted to find out.
+    stored = spark.createDataFrame([("a", ends["a"], T0), ("b", ends["b"], T0)], snapshots.CHECKPOINT_SCHEMA)
+    rest = archive.resume_lines(spark, path, stored)
+    assert rest.count() == 3 and all("round=1" in f for f in rest.inputFiles())
+    assert "Window" not in rest._jdf.queryExecution().optimizedPlan().toString()
+    done = spark.createDataFrame([("a", 10**6, T0), ("b", 10**6, T0), ("c", 10**6, T0)], snapshots.CHECKPOINT_SCHEMA)
+    assert archive.resume_lines(spark, path, done).collect() == []
+    with pytest.raises(ValueError):
+        archive.resume_lines(spark, str(tmp_path / "none"), done)
+
+
 def test_buckets_and_lines(spark, logs, tmp_path):
     df = logs([("s", "ERROR x"), ("s", "ok"), ("s", "drop")])
     out = str(tmp_path / "out")

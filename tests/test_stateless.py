@@ -52,6 +52,17 @@ def test_since(logs):
     assert texts(fl.since(df, T0)) == ["2024-03-15 09:00:00 b", "2024-03-15 09:01:00", "no time", None]
 
 
+def test_since_relative(logs):
+    df = lines(logs, "2024-03-15 08:59:59 a", "2024-03-15 09:00:00 b", "no time")
+    later = T0 + timedelta(hours=1, minutes=30)
+    for span in ("1h30m", "90m", "5400s", "1.5h", "90 minutes", timedelta(minutes=90)):
+        assert texts(fl.since(df, span, now=later)) == ["2024-03-15 09:00:00 b", "no time"]
+    assert texts(fl.since(df, "1h")) == ["no time"]
+    for bad in ("0s", "-5m", "5", "5x", "", None, 7):
+        with pytest.raises(ValueError):
+            fl.since(df, bad, now=later)
+
+
 def test_since_layouts(logs):
     cutoff = datetime(2024, 1, 10)
     df = lines(
