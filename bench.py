@@ -16,10 +16,10 @@ from pyspark.sql import SparkSession  # noqa: E402
 from loglane.plans.catalog import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "render drift_uniq drift_uniq_doc_lines drift_fuzzy filter_incl_excl grep level_filter since gate head "
+    "render drift_uniq drift_uniq_doc_lines drift_fuzzy drift_fuzzy_logs_msg filter_incl_excl grep level_filter since gate head "
     "last_n sample_overall dedupe suppress debounce normalize mask redact truncate byte_offset line_number "
     "sequence columns extract_kv extract_json json_pretty service_index window_counts line_counts top_lines "
-    "alerts alert_counts rolling_count join_runs multiline coalesce_bursts reorder batch_size batch_interval "
+    "alerts alert_counts table_alerts rolling_count join_runs multiline coalesce_bursts reorder batch_size batch_interval "
     "pace baseline_drift two_service_diff route"
 ).split()
 
