@@ -133,7 +133,7 @@ def load_checkpoint(spark: SparkSession, path: str, version: int | None = None)
     """Read a version, by default the newest complete one; empty if nothing was saved.
 
     Folders without a note, as an interrupted writer leaves them, are passed over. A version that is asked for and is
-    not complete is an error.
+    not complete, or has lost entries since, is an error.
     """
     done = _complete(spark, path)
     newest = done.agg(F.max("version")).first()[0]
@@ -144,6 +144,9 @@ def load_checkpoint(spark: SparkSession, path: str, version: int | None = None)
     elif done.filter(F.col("version") == version).isEmpty():
         raise ValueError(f"checkpoint: version {version} is not complete")
     table = spark.read.schema(CHECKPOINT_SCHEMA).option("mode", "FAILFAST").json(f"{path}/version={version}")
+    noted, held = done.filter(F.col("version") == version).agg(F.max("entries")).first()[0], table.count()
+    if noted != held:
+        raise ValueError(f"checkpoint: version {version} has {held} of {noted} entries")
     return table.filter(F.coalesce("service", F.lit("")) != "")
 
 

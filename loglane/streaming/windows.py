@@ -14,7 +14,8 @@ from loglane.operators import aggregates as ag
 from loglane.schema import duration_micros, interval, require
 
 
-# The service of the line that ends a stream. Results under this name are to be left out.
+# The service of the line that ends a stream. Results under this name are to be left out where they are read: Spark
+# would move a filter below the watermark, which the line is there to push on.
 END = "\x03"
 
 

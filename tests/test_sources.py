@@ -111,6 +111,10 @@ def test_checkpoint(spark, tmp_path):
         snapshots.save_checkpoint(one, path, 2)
     snapshots.save_checkpoint(one, path, 3)
     assert {(r["service"], r["offset"]) for r in snapshots.load_checkpoint(spark, path).collect()} == {("a", 10), ("b", 5)}
+    # Entries that were added or lost after the note was written.
+    put(path + "/version=3", "y.json", '{"service":"z","offset":1}\n')
+    with pytest.raises(ValueError, match="entries"):
+        snapshots.load_checkpoint(spark, path)
     snapshots.save_checkpoint(snapshots.empty_checkpoint(spark), path, 4)
     assert snapshots.load_checkpoint(spark, path).count() == 0
     put(path + "/version=5", "x.json", '{"service":"","offset":1}\n{"service":"c","offset":7}\n')
