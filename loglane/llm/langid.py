@@ -12,8 +12,11 @@ all languages and many words at a time.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import astuple, dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 
 from loglane.llm.shared import TEXT_ROWS, arrow_rows, gathered, slices, store, texts_in, texts_of
 
-LETTERS = re.compile(r"[^\W\d_]+")
-# Longer runs of letters are cut into parts of this length; no piece crosses a cut.
-PART = 32
+ASCII_LETTERS, PLAIN_LETTERS = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
 MARK = "▁"
-# Keeps products over a part within double range: about the inverse probability of a letter.
-SCALE = 30.0
+# Keeps products over some places within double range: about the inverse probability of a letter. Every so many places
+# the sums are scaled anew, so that words may have any length.
+SCALE, RESCALE = 30.0, 16
+# Characters of words of one length that are worked on at a time.
+BLOCK = 1 << 17
+# Share of all uses of a language that each piece gets on top of its own.
+SMOOTHING = 1e-7
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 # Words whose scores a task remembers, and words that it gathers before it sends counts on.
 REMEMBER = 300_000
@@ -91,39 +97,52 @@ def _hash(piece: str) -> int:
     return h
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters."""
-    return LETTERS.findall(text.lower())
+@cache
+def _letters() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of letters (Unicode category L) with the marks (M) after them; and what a text must have for this to differ
+    from the plain runs: marks, numerals that are no digits, or characters beyond 16 bits."""
+    kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
 
+    def ranges(chosen: list[bool]) -> str:
+        edges = [c for c in range(len(chosen)) if chosen[c] != (c > 0 and chosen[c - 1])]
+        if len(edges) % 2:
+            edges.append(len(chosen))
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
 
-def parts_of(word: str) -> list[str]:
-    """The word with the mark of its beginning, in parts of bounded length."""
-    word = MARK + word
-    return [word] if len(word) <= PART else [word[i : i + PART] for i in range(0, len(word), PART)]
+    letter, mark = (ranges([k[0] == kind for k in kinds]) for kind in "LM")
+    special = ranges([c >> 16 > 0 or k[0] == "M" or k in ("Nl", "No") for c, k in enumerate(kinds)])
+    return re.compile(f"[{letter}][{letter}{mark}]*"), re.compile(f"[{special}]")
 
 
-def _all_parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """The parts of all words, and the number of the word of each."""
-    parts = [parts_of(w) for w in words]
-    return [p for few in parts for p in few], np.repeat(np.arange(len(words)), [len(p) for p in parts])
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters with their marks; numerals that are no digits are no letters."""
+    text = text.lower()
+    if text.isascii():
+        return ASCII_LETTERS.findall(text)
+    whole, special = _letters()
+    return (whole if special.search(text) else PLAIN_LETTERS).findall(text)
 
 
-def _by_length(parts: list[str]):
-    """Indexes and code points (places x parts) of the parts of each length, some thousand at a time."""
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+def _by_length(words: list[str]):
+    """Indexes and code points (places x words) of the marked words of each length, a block of characters at a time."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        for at in range(a, b, 4096):
-            few = order[at : min(at + 4096, b)]
-            codes = np.frombuffer("".join([parts[i] for i in few.tolist()]).encode("utf-32-le"), np.uint32)
+        step = max(1, min(4096, BLOCK // (int(lengths[order[a]]) + 1)))
+        for at in range(a, b, step):
+            few = order[at : min(at + step, b)]
+            codes = np.frombuffer("".join([MARK + words[i] for i in few.tolist()]).encode("utf-32-le"), np.uint32)
             yield few, np.ascontiguousarray(codes.reshape(len(few), -1).T).astype(np.uint64)
 
 
-def _spans(codes: np.ndarray, pieces: Pieces):
-    """``(i, j, id)`` with the piece id of characters i to j of every part, or -1, for all spans with a piece."""
+def _spans(codes: np.ndarray, pieces: Pieces, backwards: bool = False):
+    """``(i, j, id)`` with the piece id of characters i to j of every word, or -1, for all spans with a piece.
+
+    Spans come by rising i, or by falling i.
+    """
     n, m = codes.shape
-    for i in range(n):
+    for i in range(n - 1, -1, -1) if backwards else range(n):
         h = np.zeros(m, np.uint64)
         for j in range(i + 1, min(n, i + pieces.longest) + 1):
             with np.errstate(over="ignore"):
@@ -136,13 +155,20 @@ def _spans(codes: np.ndarray, pieces: Pieces):
             yield i, j, found
 
 
-def _forward(codes: np.ndarray, spans: list, table: np.ndarray) -> np.ndarray:
-    """Scaled forward sums, places x parts x languages; ``table`` has a last row of zeros for id -1."""
+def _forward(codes: np.ndarray, spans, table: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Scaled forward sums, places x words x languages, and what the sums from a place on were divided by there.
+
+    ``table`` has a last row of zeros for id -1.
+    """
     alpha = np.zeros((len(codes) + 1, codes.shape[1], table.shape[1]))
     alpha[0] = 1.0
+    divisors: dict[int, np.ndarray] = {}
     for i, j, found in spans:
+        if i % RESCALE == 0 and i and i not in divisors:
+            divisors[i] = alpha[i].copy()
+            alpha[i : i + longest] /= divisors[i]
         alpha[j] += alpha[i] * table[found] * SCALE ** (j - i)
-    return alpha
+    return alpha, divisors
 
 
 def _padded(probabilities: np.ndarray) -> np.ndarray:
@@ -151,37 +177,44 @@ def _padded(probabilities: np.ndarray) -> np.ndarray:
 
 def word_scores(words: list[str], pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language, summed over all segmentations."""
-    parts, owner = _all_parts(words)
-    found, table = np.zeros((len(parts), probabilities.shape[1])), _padded(probabilities)
-    for at, codes in _by_length(parts):
-        alpha = _forward(codes, list(_spans(codes, pieces)), table)
-        found[at] = np.log(alpha[-1]) - len(codes) * np.log(SCALE)
-    if len(parts) == len(words):
-        return found
-    out = np.zeros((len(words), probabilities.shape[1]))
-    np.add.at(out, owner, found)
+    out, table = np.zeros((len(words), probabilities.shape[1])), _padded(probabilities)
+    for at, codes in _by_length(words):
+        alpha, divisors = _forward(codes, _spans(codes, pieces), table, pieces.longest)
+        out[at] = np.log(alpha[-1]) - len(codes) * np.log(SCALE) + sum(map(np.log, divisors.values()))
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in one language, over all segmentations of the counted words."""
-    parts, owner = _all_parts(words)
-    counts = counts[owner]
     out, table = np.zeros(pieces.size + 1), _padded(probabilities[:, None])
-    for at, codes in _by_length(parts):
-        spans = list(_spans(codes, pieces))
-        alpha = _forward(codes, spans, table)[:, :, 0]
+
+    def add(ids: list[np.ndarray], uses: list[np.ndarray]) -> None:
+        # Id -1 has no uses; it counts at the end.
+        all_ids = np.concatenate(ids)
+        np.add(out, np.bincount(np.where(all_ids < 0, pieces.size, all_ids), np.concatenate(uses), minlength=pieces.size + 1), out=out)
+
+    for at, codes in _by_length(words):
+        # Spans of long words are found twice rather than kept.
+        kept = list(_spans(codes, pieces)) if len(codes) <= 64 else None
+        alpha, divisors = _forward(codes, kept or _spans(codes, pieces), table, pieces.longest)
+        alpha = alpha[:, :, 0]
         beta = np.zeros_like(alpha)
         beta[-1] = counts[at] / alpha[-1]
         ids, uses = [], []
-        for i, j, found in reversed(spans):
+        for i, j, found in reversed(kept) if kept else _spans(codes, pieces, backwards=True):
             back = beta[j] * table[found, 0] * SCALE ** (j - i)
+            # A place where sums were scaled lies inside the span or at its end.
+            for k in range((i // RESCALE + 1) * RESCALE, j + 1, RESCALE):
+                if k in divisors:
+                    back = back / divisors[k][:, 0]
             beta[i] += back
             ids.append(found)
             uses.append(alpha[i] * back)
-        # Id -1 has no uses; it counts at the end.
-        ids = np.concatenate(ids)
-        out += np.bincount(np.where(ids < 0, pieces.size, ids), np.concatenate(uses), minlength=pieces.size + 1)
+            if len(ids) >= 4096:
+                add(ids, uses)
+                ids, uses = [], []
+        if ids:
+            add(ids, uses)
     return out[:-1]
 
 
@@ -251,13 +284,13 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Model:
         got = found.toPandas()
         sums = np.zeros_like(probabilities)
         sums[got["piece"], got["lang"]] = got["n"]
-        # Pieces that a language does not use keep a small share.
-        sums += 0.01
+        # Pieces that a language does not use keep a small share, at every size of the corpus.
+        sums += SMOOTHING * sums.sum(axis=0)
         probabilities = sums / sums.sum(axis=0)
     return Model(languages, probabilities)
 
 
-def predict(docs: DataFrame, pieces: Pieces, model: Model, prior: float = 0.0) -> DataFrame:
+def predict(docs: DataFrame, pieces: Pieces, model: Model) -> DataFrame:
     """All columns of ``docs`` under ``row``, and ``lang_pred, score``; one row per row.
 
     ``score`` is the predicted language's share of the probability of the text, between 0 and 1. Texts that are null

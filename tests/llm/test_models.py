@@ -55,7 +55,36 @@ def test_segmentations():
     for k in range(2):
         assert np.allclose(langid.expected_counts(words, np.ones(len(words)), PIECES, table[:, k]), uses[:, k])
     assert np.isfinite(langid.word_scores(["字" * 90, "q" * 31, "q"], PIECES, table)).all()
-    assert [len(p) for p in langid.parts_of("z" * 99)] == [32, 32, 32, 4]
+
+
+def test_long_words_and_letters():
+    assert langid.words_of("½ ² Ⅷ ③ 12") == []
+    assert langid.words_of("हिन्दी x²y Éa") == ["हिन्दी", "x", "y", "éa"]
+    table = np.random.default_rng(3).dirichlet(np.ones(PIECES.size), 2).T
+    words = ["internationalisation" * 5, "ab" * 400, "q" * 17, "字" * 40]
+    got = langid.word_scores(words, PIECES, table)
+    for k, w in enumerate(words):
+        w = langid.MARK + w
+        # Plain sums in logarithms, span by span.
+        best = np.full((len(w) + 1, 2), -np.inf)
+        best[0] = 0.0
+        for j in range(1, len(w) + 1):
+            for i in range(max(0, j - PIECES.longest), j):
+                if (piece := piece_id(w[i:j])) is not None:
+                    best[j] = np.logaddexp(best[j], best[i] + np.log(table[piece]))
+        assert np.allclose(got[k], best[-1])
+    # Pieces of every segmentation cover the word, so lengths of the expected pieces add up to it.
+    sizes = np.zeros(PIECES.size)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sizes[:-1], sizes[-1] = [len(sp.id_to_piece(i)) for i in range(PIECES.size - 1)], 1
+    for w in words:
+        assert langid.expected_counts([w], np.ones(1), PIECES, table[:, 0]) @ sizes == pytest.approx(len(w) + 1)
+    # Rare pieces of a very large corpus.
+    tiny = np.full((PIECES.size, 2), langid.SMOOTHING)
+    tiny[5] = 1.0
+    assert np.isfinite(langid.word_scores(["字" * 300, "z" * 31], PIECES, tiny)).all()
 
 
 def test_languages(spark):
@@ -103,6 +132,19 @@ def test_quality_rows(spark):
     assert quality.classify(df.limit(0), spark.createDataFrame([], "doc_id long, label int")).count() == 0
 
 
+def test_equal_labelled_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "grow", lambda x, y: seen.append((x, y)))
+    empty, other = [0.0] * len(quality.NAMES), [1.0] * len(quality.NAMES)
+    rows = [(empty, 0)] * 2000 + [(other, 1)] * 1000 + [([float(i)] * len(quality.NAMES), 1) for i in range(2, 1002)]
+    quality.fit(spark.createDataFrame(rows, "stats array<double>, label int"), 400)
+    x, y = seen[0]
+    assert (x[:, 0] == 0).sum() in (200, 201) and (x[:, 0] == 1).sum() in (100, 101)
+    assert 60 < (x[:, 0] > 1).sum() < 140 and (y == (x[:, 0] > 0)).all()
+    quality.fit(spark.createDataFrame(rows[:30], "stats array<double>, label int"), 400)
+    assert len(seen[1][0]) == 30
+
+
 def held_out_auc(rows):
     good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
     return sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
