@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over statistics of the text.
 
 Statistics are computed once per document, in arrow batches. Trees are grown on histograms of binned statistics of a
-bounded sample of labelled rows (``train_rows``); all trees are flattened into arrays of the same shape, and
+bounded sample of labelled rows (``train_rows``, equal rows counted); all trees are flattened into arrays of the same shape, and
 documents walk all of them level by level in numpy.
 """
 
@@ -176,18 +176,21 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
     """Trees from ``stats, label`` (0 or 1; other labels are left out).
 
-    The rows are counted; if they are more than ``train_rows``, a share of about that many, drawn by a hash of the
-    statistics, is used. These rows go to the driver, so its memory is bounded by ``train_rows``.
+    Equal rows are one row with a count. If there are more than ``train_rows`` rows in all, each count is thinned to
+    its share of about that many, rounded up or down by a hash of the row, so rows that occur often keep their weight.
+    At most ``train_rows`` rows go to the driver and trees are grown on about as many, so its memory is bounded.
     """
-    labelled = labelled.filter("label in (0, 1)").select("stats", F.col("label").cast("double").alias("label"))
-    n = labelled.count()
+    labelled = labelled.filter("label in (0, 1)").groupBy("stats", F.col("label").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    n = labelled.agg(F.sum("n")).first()[0] or 0
+    draw = F.pmod(F.xxhash64("stats", "label"), F.lit(1 << 20))
     if n > train_rows:
-        part = F.pmod(F.xxhash64("stats", "label"), F.lit(1 << 20))
-        labelled = labelled.filter(part < int((1 << 20) * train_rows / n))
+        labelled = labelled.withColumn("n", F.floor(F.col("n") * (train_rows / n) + draw / float(1 << 20))).filter("n > 0")
+        labelled = labelled.orderBy(F.desc("n"), draw.desc(), "stats", "label").limit(train_rows)
     got = labelled.toPandas()
-    # One order, so that reruns agree.
     x = np.array(got["stats"].tolist(), float).reshape(len(got), len(NAMES))
+    # One order, so that reruns agree.
     order = np.lexsort((*x.T, got["label"].to_numpy()))
+    order = np.repeat(order, got["n"].to_numpy(np.int64)[order])
     return grow(x[order], got["label"].to_numpy(float)[order])
 
 
