@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglane.llm.components import components
-from loglane.llm.shared import NARROW_ROWS, arrow_rows, in_batches, store
+from loglane.llm.shared import NARROW_ROWS, arrow_rows, in_batches, mix, store
 
 TABLES, HASHES, PROBES = 6, 2, 4
-# Vectors of a part of a bucket.
-PART = 2048
+# Vectors of a part of a bucket, and their bytes; components of vectors hashed at a time.
+PART, PART_BYTES, BLOCK = 2048, 1 << 25, 1 << 22
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -111,6 +111,15 @@ def _width(b: bytes) -> int:
     return (len(b) - 1) // (4 if b[0] == 4 else 8)
 
 
+def _numbered(code: np.ndarray, width: int) -> np.ndarray:
+    """Bucket numbers, not negative, of the codes of each table: distinct below 16,384 components, hashed beyond."""
+    table = np.arange(code.shape[1])[None, :, None]
+    if width < 1 << 14:
+        return ((width * 256 + table) << 40) + code
+    mixed = mix(mix(code.astype(np.uint64), 1) + table.astype(np.uint64), width % (1 << 32))
+    return (mixed >> np.uint64(2)).astype(np.int64) | (1 << 62)
+
+
 def _bucketed(nodes: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
     """``bucket`` (of table, width and axes), ``base`` (own bucket or probe) and the vector, for each probe of each node."""
 
@@ -119,10 +128,9 @@ def _bucketed(nodes: DataFrame, tables: int, hashes: int, probes: int) -> DataFr
             packed = batch.column(1).to_pylist()
             widths = np.array([_width(b) for b in packed])
             for w in np.unique(widths):
-                for at in np.array_split(np.flatnonzero(widths == w), -(-int((widths == w).sum()) // 1000)):
+                for at in np.array_split(np.flatnonzero(widths == w), -(-int((widths == w).sum()) // max(1, min(1000, BLOCK // int(w))))):
                     code = codes(units([packed[i] for i in at]), tables, hashes, probes)
-                    t = np.arange(tables)[None, :, None]
-                    bucket = np.where(code >= 0, ((w * 256 + t) << 40) + code, -1)
+                    bucket = np.where(code >= 0, _numbered(code, int(w)), -1)
                     blobs = pa.array([c.astype(np.int64).tobytes() for c in bucket], pa.binary())
                     row, _, probe = np.nonzero(bucket >= 0)
                     index = pa.array(at[row])
@@ -217,9 +225,9 @@ def near_duplicates(
     )
     nodes = store(nodes, "nodes")
     met = store(_bucketed(nodes, tables, hashes, probes), "buckets")
-    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base").cast("int")).alias("bases"))
+    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base").cast("int")).alias("bases"), F.sum(F.length("packed")).alias("bytes"))
     # Buckets with one vector, or that vectors only probe, link nothing.
-    sizes = sizes.filter("n > 1 and bases > 0").select("bucket", F.ceil(F.col("n") / PART).alias("parts"))
+    sizes = sizes.filter("n > 1 and bases > 0").select("bucket", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("bytes") / PART_BYTES)).alias("parts"))
     met = met.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
     # Part i of all members meets part j of those whose own bucket it is.

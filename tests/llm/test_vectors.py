@@ -49,6 +49,13 @@ def test_odd_vectors(spark):
     )
 
 
+def test_wide_vectors(spark):
+    r = np.random.default_rng(9)
+    x, y = r.normal(size=(2, 32768))
+    rows = [(1, x.tolist()), (2, (x + 0.01 * y).tolist()), (3, y.tolist()), (4, y[:20000].tolist()), (5, (2 * y[:20000] + 0.001).tolist())]
+    assert run(spark, rows) == sorted(brute(rows), key=repr)
+
+
 def test_recall_at_the_threshold():
     """Pairs of cosine 0.95 meet with the tables of the query."""
     r = np.random.default_rng(5)
