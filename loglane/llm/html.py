@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html import unescape
 
 import numpy as np
@@ -39,7 +40,7 @@ FENCES = frozenset("ul ol dl table tbody thead tfoot tr td th article section di
 
 # Fixed values of this extractor: elements, roles and class words that are not article text, and words that are.
 ASIDE_TAGS = frozenset(
-    "head title script style noscript template iframe svg math canvas object embed nav footer aside form button select textarea "
+    "head title script style noscript template iframe svg annotation annotation-xml canvas object embed nav footer aside form button select textarea "
     "input option datalist dialog menu audio video noembed noframes".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
@@ -83,6 +84,8 @@ class Page:
         self.names, self.parents, self.aside, self.homes = ["#root"], [-1], [False], [False]
         # Pieces of text in page order with their node; None ends a block.
         self.pieces: list[tuple[int, str] | None] = []
+        # How many elements of each name are open, so that no end is looked for in vain.
+        self.open: defaultdict[str, int] = defaultdict(int)
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -124,13 +127,21 @@ class Page:
                 at = end.end() if end else len(html)
                 continue
             stack.append(node)
+            self.open[name] += 1
+
+    def _cut(self, stack: list[int], k: int) -> None:
+        for i in stack[k:]:
+            self.open[self.names[i]] -= 1
+        del stack[k:]
 
     def _end(self, stack: list[int], names: set[str], fences: frozenset) -> None:
         """Close the nearest open element of these names, unless a fence is nearer."""
+        if not any(map(self.open.get, names)):
+            return
         for k in range(len(stack) - 1, 0, -1):
             name = self.names[stack[k]]
             if name in names:
-                del stack[k:]
+                self._cut(stack, k)
                 self.pieces.append(None)
                 return
             if name in fences:
@@ -142,9 +153,11 @@ class Page:
         if name == "br":
             self.pieces.append((stack[-1], " "))
             return
+        if not self.open[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.names[stack[k]] == name:
-                del stack[k:]
+                self._cut(stack, k)
                 if name in BLOCKS:
                     self.pieces.append(None)
                 return
@@ -205,13 +218,13 @@ class Page:
             keep[home] = True
         else:
             keep[best] = True
-            # Branches off the path, below the body's own level, that hold a node of at least this density.
+            # Branches off the path that hold a node of at least this density; also other sections right below the body.
             peak = list(density)
             for i in range(n - 1, 0, -1):
                 peak[parents[i]] = max(peak[parents[i]], peak[i])
             on_path = set(path)
             for i in range(n):
-                if i not in on_path and parents[i] in on_path and parents[i] != body and peak[i] >= threshold > 0:
+                if i not in on_path and parents[i] in on_path and peak[i] >= threshold > 0:
                     keep[i] = True
         for i in range(1, n):
             keep[i] = (keep[i] or (parents[i] >= 0 and keep[parents[i]])) and not aside[i]
