@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglane.llm.shared import shared_folder, slices, texts_of
+from loglane.llm.shared import TEXT_ROWS, arrow_rows, shared_folder, slices, texts_of
 
 # Ids of a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
@@ -200,6 +200,7 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, buck
     Null and empty texts have the end id alone. Rows with one id follow each other by their text's checksum; null
     ids come first. No rows write no shards.
     """
+    arrow_rows(docs, TEXT_ROWS)
     buckets = buckets or max(8, 2 * docs.rdd.getNumPartitions())
     rows = tokenized(docs, tokenizer_file, end_id, bounds_of(docs, buckets))
     shards(rows).write.parquet(path)

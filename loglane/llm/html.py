@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglane.llm.shared import in_batches, slices, texts_of
+from loglane.llm.shared import TEXT_ROWS, arrow_rows, in_batches, slices, texts_of
 
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -258,6 +258,7 @@ def extract(pages: DataFrame) -> DataFrame:
         out = [main_text(h) if h else "" for at, to in slices(pages) for h in pages[at:to].to_pylist()]
         return pa.table({"row": batch.column(0), "text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())})
 
+    arrow_rows(pages, TEXT_ROWS)
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("row")
     df = pages.select(row, F.col("html").cast("string").alias("html"))
     schema = T.StructType([df.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -15,8 +15,9 @@ from loglane.plans.lineage import ensure_checkpoint_dir
 
 # Bytes of text worked on at a time; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
-# Rows of an arrow batch: of whole documents, and of anything narrow.
+# Rows of an arrow batch: of whole documents, and of anything narrow; and its bytes, about, but for a longer row.
 TEXT_ROWS, NARROW_ROWS = 500, 10_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,12 +52,12 @@ def store_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
 
 
 def arrow_rows(df: DataFrame, rows: int) -> None:
-    """Rows of the arrow batches that tasks exchange with Python, for the jobs that follow in ``df``'s session.
+    """Rows and bytes of the arrow batches that tasks exchange with Python, for the jobs that follow in ``df``'s session.
 
-    Batches are bounded by rows alone: whole documents need short ones, for the executor's sake. Every operator
-    whose results depend on it sets it.
+    The buffers of a batch exist several times, in the executor and in its workers, so both bounds are short.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = NARROW_ROWS) -> Iterator[pa.RecordBatch]:
