@@ -5,13 +5,16 @@ sum of the logarithms of these probabilities over all its words. Words are lower
 space; the most frequent ones of the whole corpus have ids of their own, others share ids by their hash. The output is
 a softmax over classes of ids, then over the ids of the class.
 
-The vocabulary is counted over all documents. Training goes in rounds over a fixed share of the documents: every
-task trains its own copy in numpy on its part, and the copies are averaged, weighted by their windows, with one
-shuffle of sums. What is gathered grows with the corpus; what reaches the driver is one model.
+Vocabulary and network are learned from all documents. Training goes in rounds; each document is learned in one of them,
+by its hash. A round's documents are dealt, by hash as well, over as many parts as keep a part's windows bounded; each
+part trains its own copy in numpy, in an order of its own, and the copies are averaged, weighted by their windows,
+with one shuffle of sums. So the result depends on the documents alone, not on tasks, files or settings of the session.
+What is gathered grows with the corpus; what reaches the driver is one model.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglane.llm.shared import LOWER, NARROW_ROWS, SPACE, arrow_rows, bytes_of, hashes, in_batches, runs, slices, store, texts_of
+from loglane.llm.shared import LOWER, SPACE, TEXT_ROWS, arrow_rows, bytes_of, hashes, in_batches, runs, slices, store, texts_of
 
-CLASSES, PER_CLASS = 32, 32
+CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS
 # Ids of rare words, by hash; the last id of all stands outside the text.
 RARE = 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-ROUNDS, TRAIN_SHARE = 3, 8
-BATCH, RATE = 512, 0.08
+ROUNDS = 3
+BATCH, RATE = 2048, 0.08
+# Words of a part that one copy is trained on, about; words whose windows are made at a time.
+PART_WORDS, SOME_WORDS = 1 << 21, 1 << 17
 # Distinct words that a task counts before it sends them on.
 GATHER = 400_000
 
@@ -167,6 +172,12 @@ def log_probabilities(w: dict[str, np.ndarray], context: np.ndarray, target: np.
     return out
 
 
+def _step(w: np.ndarray, past: np.ndarray, at, g: np.ndarray) -> None:
+    """A step of Adagrad for the chosen rows, in place."""
+    past[at] += g * g
+    w[at] -= RATE * g / np.sqrt(past[at])
+
+
 def train_on(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, past: dict[str, np.ndarray], seed: int) -> None:
     """One pass over the windows in random order: steps by Adagrad, in place; ``past`` has the squares so far."""
     order = np.random.default_rng(seed).permutation(len(target))
@@ -176,50 +187,98 @@ def train_on(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
         x, h = _hidden(w, c)
         p = np.exp(_log_softmax(h @ w["to_class"] + w["class_bias"]))
         p[np.arange(len(t)), t // PER_CLASS] -= 1
-        grads = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-        grads["to_class"], grads["class_bias"] = h.T @ p, p.sum(axis=0)
+        grads = {"to_class": h.T @ p, "class_bias": p.sum(axis=0)}
         back = p @ w["to_class"].T
         for k, some in _by_class(t):
             q = np.exp(_log_softmax(h[some] @ w["to_id"][k] + w["id_bias"][k]))
             q[np.arange(len(some)), t[some] % PER_CLASS] -= 1
-            grads["to_id"][k], grads["id_bias"][k] = h[some].T @ q, q.sum(axis=0)
             back[some] += q @ w["to_id"][k].T
+            _step(w["to_id"], past["to_id"], k, h[some].T @ q / len(t))
+            _step(w["id_bias"], past["id_bias"], k, q.sum(axis=0) / len(t))
         back *= 1 - h * h
         grads["inner"], grads["bias"] = x.T @ back, back.sum(axis=0)
-        np.add.at(grads["embed"], c.ravel(), (back @ w["inner"].T).reshape(-1, WIDTH))
+        # Only words that occur have a gradient: their rows are summed up in order.
+        words = c.ravel()
+        sorted_words = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.diff(words[sorted_words], prepend=-1))
+        sums = np.add.reduceat((back @ w["inner"].T).reshape(-1, WIDTH)[sorted_words], first, axis=0)
+        _step(w["embed"], past["embed"], words[sorted_words[first]], sums / len(t))
         for k, g in grads.items():
-            g /= len(t)
-            past[k] += g * g
-            w[k] -= RATE * g / np.sqrt(past[k])
+            _step(w[k], past[k], slice(None), g / len(t))
 
 
-def train(rows: DataFrame, rounds: int = ROUNDS, share: int = TRAIN_SHARE) -> dict[str, np.ndarray]:
-    """Weights from rows with ``ids``: about every ``share``-th document, chosen by the hash of its ids.
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs in all rows."""
 
-    Without windows the initial weights stay.
-    """
-    weights = flat(initial())
-    rows = rows.select("ids").filter(F.pmod(F.xxhash64("ids"), F.lit(share)) == 0)
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(VOCABULARY, np.int64)
+        for batch in batches:
+            for ids in batch.column(0).to_pylist():
+                sums += np.bincount(np.frombuffer(ids, np.uint16), minlength=VOCABULARY)
+        at = np.flatnonzero(sums)
+        yield pa.record_batch({"id": pa.array(at), "n": pa.array(sums[at])})
+
+    got = rows.select("ids").mapInArrow(fn, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(VOCABULARY, np.int64)
+    out[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+def by_frequency(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Initial weights whose output biases give every id its share of the corpus."""
+    w, n = initial(), (counts + 0.5).reshape(CLASSES, PER_CLASS)
+    w["class_bias"] = np.log(n.sum(axis=1) / n.sum()).astype(np.float32)
+    w["id_bias"] = np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
+    return w
+
+
+def _trained(values: np.ndarray, docs: Iterator[bytes], number: int) -> tuple[np.ndarray, int]:
+    """Weights after one pass over the documents, and the number of their windows."""
+    w, seen = unflat(values), 0
+    past = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
+
+    def learn(some: list[bytes]) -> int:
+        context, target, _ = windows(some)
+        if len(target):
+            train_on(w, context, target, past, (number << 32) + seen)
+        return len(target)
+
+    held, size = [], 0
+    for doc in docs:
+        # A long document is learned in pieces, like documents of their own.
+        for at in range(0, len(doc), 2 * SOME_WORDS):
+            held.append(doc[at : at + 2 * SOME_WORDS])
+            size += len(held[-1]) // 2
+            if size >= SOME_WORDS:
+                seen += learn(held)
+                held, size = [], 0
+    if held:
+        seen += learn(held)
+    return flat(w), seen
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights from all rows of ``row, ids``, beginning with the shares of ids. Without windows these stay."""
+    counts = id_counts(rows)
+    weights = flat(by_frequency(counts))
+    parts = max(1, -(-int(counts.sum()) // (rounds * PART_WORDS)))
+    # Equal documents lie in one round, but in different parts if their rows differ.
+    rows = rows.select("ids", F.xxhash64("ids").alias("text_hash"), F.xxhash64("row", "ids").alias("row_hash")).filter("length(ids) > 0")
+    rows = rows.withColumn("part", F.pmod(F.col("row_hash"), F.lit(parts)))
     for number in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast(weights)
 
         def fn(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            w, seen = unflat(shared.value), 0
-            past = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
-            for batch in batches:
-                docs = batch.column(0).to_pylist()
-                for at in range(0, len(docs), 200):
-                    context, target, _ = windows(docs[at : at + 200])
-                    if len(target):
-                        train_on(w, context, target, past, 1000 * number + at)
-                        seen += len(target)
-            if seen:
-                yield pa.record_batch({"i": pa.array(np.arange(len(shared.value))), "sum": pa.array(flat(w).astype(np.float64) * seen), "n": pa.array(np.full(len(shared.value), seen))})
-
-        sums = rows.mapInArrow(fn, "i long, sum double, n long").groupBy("i").agg((F.sum("sum") / F.sum("n")).alias("w"))
+            docs = ((part, ids) for b in batches for part, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for _, mine in itertools.groupby(docs, key=lambda x: x[0]):
+                w, seen = _trained(shared.value, (ids for _, ids in mine), number)
+                if seen:
+                    yield pa.record_batch({"i": pa.array(np.arange(len(w))), "sum": pa.array(w.astype(np.float64) * seen), "n": pa.array(np.full(len(w), seen))})
+
+        now = rows.filter(F.pmod(F.xxhash64("text_hash"), F.lit(rounds)) == number)
+        now = now.repartition(parts, "part").sortWithinPartitions("part", "text_hash", "ids").select("part", "ids")
+        sums = now.mapInArrow(fn, "i long, sum double, n long").groupBy("i").agg((F.sum("sum") / F.sum("n")).alias("w"))
         got = sums.toPandas()
-        if got.empty:
-            break
         weights = weights.copy()
         weights[got["i"].to_numpy()] = got["w"].to_numpy()
     return unflat(weights)
@@ -252,13 +311,13 @@ def scored(rows: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     return rows.select("row", "ids").mapInArrow(in_batches(fn, ""), T.StructType([rows.schema["row"], *extra]))
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, share: int = TRAIN_SHARE) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Score every row of ``docs`` (``text`` and any other columns); see :func:`scored` for the result.
 
     ``row`` has all columns but the text. Null, empty and wordless texts have no tokens, a sum of 0 and a null score.
-    Equal texts have equal scores. No rows give no rows. Model and vocabulary are learned from ``docs``.
+    Equal texts have equal scores. No rows give no rows. Model and vocabulary are learned from ``docs``. Columns of a
+    map type are refused.
     """
-    # Training takes the windows of a batch at a time.
-    arrow_rows(docs, NARROW_ROWS)
+    arrow_rows(docs, TEXT_ROWS)
     rows = store(with_ids(docs, frequent_words(docs)), "ids")
-    return scored(rows, train(rows, rounds, share))
+    return scored(rows, train(rows, rounds))

@@ -163,20 +163,23 @@ def test_queries_held_out(spark):
     assert len(rows) > 50 and held_out_auc(rows) > 0.95
 
 
+END = mlm.VOCABULARY - 1
+
+
 def test_gradients():
     """Training steps follow the loss: a few passes over one text beat its unigram entropy."""
     r = np.random.default_rng(3)
     text = np.tile([5, 40, 700, 5, 41, 701], 300).astype(np.uint16)
     text[r.integers(0, len(text), 20)] = 9
     context, target, sizes = mlm.windows([text.tobytes(), b"", text[:1].tobytes()])
-    assert sizes.tolist() == [1800, 0, 1] and (context[0] == [1023, 1023, 40, 700]).all() and (context[-1] == 1023).all()
+    assert sizes.tolist() == [1800, 0, 1] and (context[0] == [END, END, 40, 700]).all() and (context[-1] == END).all()
     w = mlm.unflat(mlm.flat(mlm.initial()))
     past = {k: np.full(s, 1e-6, np.float32) for k, s in mlm.SHAPES.items()}
     before = mlm.log_probabilities(w, context, target).mean()
     for k in range(20):
         mlm.train_on(w, context, target, past, k)
     after = mlm.log_probabilities(w, context, target).mean()
-    assert before == pytest.approx(-math.log(1024), abs=0.3) and after > -0.8
+    assert before == pytest.approx(-math.log(mlm.VOCABULARY), abs=0.3) and after > -0.8
     # Probabilities of all words in one context sum to one.
     every = np.arange(mlm.VOCABULARY)
     assert np.exp(mlm.log_probabilities(w, np.repeat(context[7:8], len(every), axis=0), every)).sum() == pytest.approx(1, abs=1e-4)
@@ -185,24 +188,36 @@ def test_gradients():
 def test_scores(spark):
     rows = [(i, "the cat sat on the mat and the dog sat on the log " * 4, "a") for i in range(40)] + [(50, None, "b"), (51, " ", "c"), (None, "zebra", "d"), (52, "mat the on zz qq " * 9000, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = mlm.pseudo_likelihood(docs, share=1).collect()
+    got = mlm.pseudo_likelihood(docs).collect()
     by = {r.row.ids: r for r in got}
     assert len(got) == len(rows) and by["b"].n_tokens == by["c"].n_tokens == 0 and by["b"].log_likelihood == 0 and by["b"].score is None
     assert by["a"].n_tokens == 52 and by["a"].score == pytest.approx(by["a"].log_likelihood / 52) and by["a"].score > by["d"].score
     # The whole model again in plain Python, for one text.
     shape = mlm.with_ids(docs, mlm.frequent_words(docs))
-    weights = mlm.train(shape, share=1)
+    weights = mlm.train(shape)
     ids = np.frombuffer(shape.filter("row.ids = 'a'").first().ids, np.uint16)
-    line, total = [1023, 1023, *ids.tolist(), 1023, 1023], 0.0
+    line, total = [END, END, *ids.tolist(), END, END], 0.0
     for i in range(2, len(line) - 2):
         x = np.concatenate([weights["embed"][line[k]] for k in (i - 2, i - 1, i + 1, i + 2)])
         h = np.tanh(x @ weights["inner"] + weights["bias"])
-        a, b = h @ weights["to_class"] + weights["class_bias"], h @ weights["to_id"][line[i] // 32] + weights["id_bias"][line[i] // 32]
-        total += a[line[i] // 32] - np.log(np.exp(a).sum()) + b[line[i] % 32] - np.log(np.exp(b).sum())
+        a, b = h @ weights["to_class"] + weights["class_bias"], h @ weights["to_id"][line[i] // mlm.PER_CLASS] + weights["id_bias"][line[i] // mlm.PER_CLASS]
+        total += a[line[i] // mlm.PER_CLASS] - np.log(np.exp(a).sum()) + b[line[i] % mlm.PER_CLASS] - np.log(np.exp(b).sum())
     assert by["a"].log_likelihood == pytest.approx(total, rel=1e-3)
     assert mlm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mlm, "PART_WORDS", 4000)
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(r.choice(["ab", "cd", "ef", "gh", "ij"], 200))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (1, 5):
+        got = mlm.pseudo_likelihood(docs.repartition(n)).select("row.doc_id", "log_likelihood").collect()
+        found.append([x.log_likelihood for x in sorted(got)])
+    assert np.allclose(*found, rtol=1e-5)
+
+
 @needs_tables
 def test_better_than_unigrams(spark):
     folder = "/root/testdata/sf0.01"
@@ -211,5 +226,5 @@ def test_better_than_unigrams(spark):
     ids = np.concatenate([np.frombuffer(r.ids, np.uint16) for r in rows.select("ids").collect()])
     share = np.bincount(ids, minlength=mlm.VOCABULARY) / len(ids)
     unigram = (share[share > 0] * np.log(share[share > 0])).sum()
-    got = mlm.scored(rows, mlm.train(rows, share=2)).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first()
+    got = mlm.scored(rows, mlm.train(rows)).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first()
     assert got[1] == len(ids) and got[0] / got[1] > unigram
