@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 
 from loglane.llm.shared import LOWER, SPACE, TEXT_ROWS, arrow_rows, bytes_of, hashes, in_batches, runs, slices, store, texts_of
 
-CLASSES, PER_CLASS = 64, 64
+CLASSES, PER_CLASS = 32, 128
 VOCABULARY = CLASSES * PER_CLASS
 # Ids of rare words, by hash; the last id of all stands outside the text.
 RARE = 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS = 3
-BATCH, RATE = 2048, 0.08
+BATCH, RATE = 4096, 0.08
 # Words of a part that one copy is trained on, about; words whose windows are made at a time.
 PART_WORDS, SOME_WORDS = 1 << 21, 1 << 17
 # Distinct words that a task counts before it sends them on.
@@ -141,9 +141,18 @@ def windows(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return line[at[:, None] + around].astype(np.int64), line[at].astype(np.int64), sizes
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the chosen column's share in the softmax of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), chosen].astype(np.float64)
+    return picked - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def _hidden(w: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,24 +160,24 @@ def _hidden(w: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray,
     return x, np.tanh(x @ w["inner"] + w["bias"])
 
 
-def _by_class(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(target // PER_CLASS, kind="stable")
-    cuts = np.searchsorted((target // PER_CLASS)[order], np.arange(CLASSES + 1))
-    return [(c, order[cuts[c] : cuts[c + 1]]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+def _class_order(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of class, and where each class begins in that order."""
+    classes = (target // PER_CLASS).astype(np.uint8)
+    return np.argsort(classes, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(classes, minlength=CLASSES))))
 
 
 def log_probabilities(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Logarithm of the probability of each target in its context."""
     out = np.empty(len(target))
     for at in range(0, len(target), 16384):
-        some = target[at : at + 16384]
-        _, h = _hidden(w, context[at : at + 16384])
-        first = _log_softmax(h @ w["to_class"] + w["class_bias"])
-        found = first[np.arange(len(some)), some // PER_CLASS].astype(np.float64)
-        for c, rows in _by_class(some):
-            second = _log_softmax(h[rows] @ w["to_id"][c] + w["id_bias"][c])
-            found[rows] += second[np.arange(len(rows)), some[rows] % PER_CLASS]
-        out[at : at + 16384] = found
+        order, cuts = _class_order(target[at : at + 16384])
+        some = target[at : at + 16384][order]
+        _, h = _hidden(w, context[at : at + 16384][order])
+        found = _log_share(h @ w["to_class"] + w["class_bias"], some // PER_CLASS)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            rows = slice(cuts[c], cuts[c + 1])
+            found[rows] += _log_share(h[rows] @ w["to_id"][c] + w["id_bias"][c], some[rows] % PER_CLASS)
+        out[at + order] = found
     return out
 
 
@@ -183,24 +192,28 @@ def train_on(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
     order = np.random.default_rng(seed).permutation(len(target))
     for at in range(0, len(order), BATCH):
         rows = order[at : at + BATCH]
+        # In order of class, so that the rows of a class are a slice.
+        by_class, cuts = _class_order(target[rows])
+        rows = rows[by_class]
         c, t = context[rows], target[rows]
         x, h = _hidden(w, c)
-        p = np.exp(_log_softmax(h @ w["to_class"] + w["class_bias"]))
+        p = _softmax(h @ w["to_class"] + w["class_bias"])
         p[np.arange(len(t)), t // PER_CLASS] -= 1
         grads = {"to_class": h.T @ p, "class_bias": p.sum(axis=0)}
         back = p @ w["to_class"].T
-        for k, some in _by_class(t):
-            q = np.exp(_log_softmax(h[some] @ w["to_id"][k] + w["id_bias"][k]))
-            q[np.arange(len(some)), t[some] % PER_CLASS] -= 1
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            some = slice(cuts[k], cuts[k + 1])
+            q = _softmax(h[some] @ w["to_id"][k] + w["id_bias"][k])
+            q[np.arange(len(q)), t[some] % PER_CLASS] -= 1
             back[some] += q @ w["to_id"][k].T
             _step(w["to_id"], past["to_id"], k, h[some].T @ q / len(t))
             _step(w["id_bias"], past["id_bias"], k, q.sum(axis=0) / len(t))
         back *= 1 - h * h
         grads["inner"], grads["bias"] = x.T @ back, back.sum(axis=0)
         # Only words that occur have a gradient: their rows are summed up in order.
-        words = c.ravel()
+        words = c.ravel().astype(np.uint16)
         sorted_words = np.argsort(words, kind="stable")
-        first = np.flatnonzero(np.diff(words[sorted_words], prepend=-1))
+        first = np.flatnonzero(np.diff(words[sorted_words].astype(np.int64), prepend=-1))
         sums = np.add.reduceat((back @ w["inner"].T).reshape(-1, WIDTH)[sorted_words], first, axis=0)
         _step(w["embed"], past["embed"], words[sorted_words[first]], sums / len(t))
         for k, g in grads.items():
