@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -748,16 +749,25 @@ LEAST_BATCHES = 5
 
 def _stream(spark, folder, view) -> DataFrame:
     """All lines of a view as a stream of several files, in order of ``seq``, one in each micro-batch."""
-    path = scratch(spark) + "/source"
+    base = scratch(spark)
+    path = f"{base}/source"
     # The view's order is cut where its rows are about evenly dealt.
     df = view(spark, folder).select("seq", "service", "text", "ts")
     number = max(LEAST_BATCHES, -(-df.count() // BATCH_LINES))
     cuts = df.select(F.percentile_approx("seq", [i / number for i in range(1, number)], 10 * number)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        part = df if low is None else df.filter(F.col("seq") > low)
-        part = part if high is None else part.filter(F.col("seq") <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
+    # The view is read once more, whatever the number of batches, and its lines dealt to them; then each batch is written
+    # in its turn, as the source takes files by age. Large numbers that are one as doubles stay in one batch.
+    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    if len(splits) < 3:
+        df.coalesce(1).write.parquet(path)
+    else:
+        keyed = df.filter(F.col("seq").isNotNull()).withColumn("__seq", F.col("seq").cast("double"))
+        dealt = Bucketizer(splits=splits, inputCol="__seq", outputCol="__part").transform(keyed)
+        dealt = dealt.drop("__seq").withColumn("part", F.col("__part").cast("int")).drop("__part")
+        dealt.repartitionById(len(splits) - 1, "part").write.partitionBy("part").parquet(f"{base}/dealt")
+        parts = spark.read.parquet(f"{base}/dealt").select("part").distinct().collect()
+        for part in sorted(r["part"] for r in parts):
+            spark.read.schema(df.schema).parquet(f"{base}/dealt/part={part}").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

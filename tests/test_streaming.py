@@ -166,3 +166,36 @@ def test_text_stream_is_numbered_and_captured(spark, tmp_path):
     later = text.stream_logs(spark, {"api": str(folder)}, start=datetime(2023, 11, 14, 22, 15, 0))
     snapshots.stream_snapshot(later, f"{base}/snap2", f"{base}/snap2cp").awaitTermination()
     assert snapshots.load_snapshot(spark, f"{base}/snap2").count() == 8
+
+
+def test_a_registered_stream_reads_its_view_a_fixed_number_of_times(spark, tmp_path, monkeypatch):
+    from loglane.plans import catalog
+
+    monkeypatch.setattr(catalog, "BATCH_LINES", 10)
+    monkeypatch.setattr(catalog, "scratch", lambda s: str(tmp_path))
+    read = spark.sparkContext.accumulator(0)
+
+    def copy(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(i * 7 % 101, "s", f"t{i}", None) for i in range(101)], "seq long, service string, text string, ts timestamp")
+    view = lambda s, f: rows.mapInPandas(copy, rows.schema)
+    assert catalog._stream(spark, "", view).isStreaming
+    assert read.value <= 3 * 101
+    files = sorted((os.stat(f).st_mtime_ns, str(f)) for f in (tmp_path / "source").glob("*.parquet"))
+    parts = [sorted(r["seq"] for r in spark.read.parquet(f).collect()) for _, f in files]
+    assert len(parts) == 11 and sum(parts, []) == list(range(101)) and max(map(len, parts)) < 20
+
+
+def test_a_batch_without_new_forms_starts_no_search(spark, monkeypatch):
+    def search(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(dr, "fuzzy_firsts", search)
+    lines = spark.createDataFrame([(5, "a", "one"), (6, "a", "two")], "seq long, service string, text string")
+    seen = spark.createDataFrame([("one", 1), ("two", 2)], "norm string, first_seq long")
+    step = steps.drift("fuzzy", 0.8)
+    out, state = step.step(lines, {"seen": seen})
+    assert [r["drift"] for r in out.collect()] == [False, False] and state["seen"].count() == 0
