@@ -40,7 +40,7 @@ def run_blocks(df: DataFrame, max_lines: int, chunks: int | None = None) -> Data
     def changes(prev: Column, service: Column) -> Column:
         return ~prev.eqNullSafe(service) & ~prev.eqNullSafe(F.lit(""))
 
-    df, _ = with_runs(df, ARRIVAL, None, F.col("service"), changes, chunks=chunks)
+    df, _ = with_runs(df, ARRIVAL, None, "service", changes, chunks=chunks)
     place = F.col("__pos") - F.col("__start")
     return df.withColumn("__block", F.col("__pos") - place % max_lines)
 
@@ -148,7 +148,7 @@ def coalesce_bursts(
     us = _positive("window", window)
     df = df.withColumn("__us", micros(df))
     quiet = lambda prev, at: at - prev > us
-    df, _ = with_runs(df, TIME, "service", F.col("__us"), quiet, chunks=chunks)
+    df, _ = with_runs(df, TIME, "service", "__us", quiet, chunks=chunks)
     keys = ["service", "__start"]
     first = F.min_by(F.struct("seq", "ts"), F.col("__pos")).alias("first")
     # Pieces inside a chunk first (no further shuffle), then the pieces of each burst.

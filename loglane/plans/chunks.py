@@ -8,8 +8,9 @@ task. Here the order is cut into chunks of bounded size instead:
    is cut further by the next column of the key, so ties do not pile up.
 2. ``carry`` sums up each (group, chunk) with one map-side combined ``groupBy``, runs a window over
    those few summary rows, and joins what came before back to the rows of each chunk.
-3. The caller finishes with ordinary windows over ``local(group)``: (group, chunk), in order. The
-   join and these windows hash on the same columns, so the rows are shuffled once.
+3. The caller uses ordinary windows over ``local(group)``: (group, chunk), in order. The join and
+   these windows hash on the same columns, so the rows are shuffled once; windows that come before
+   the join also leave the rows in its order, and what is joined to them is in no sort.
 
 Streams call the same functions batch by batch: the summary of all earlier batches enters as a
 chunk before the first one (``state``), and ``carry`` returns the summary after the last.
@@ -29,7 +30,7 @@ CHUNK = "__chunk"
 ARRIVAL_CHUNK = "__arrival_chunk"
 
 # Rows per chunk once there are many, the least worth a chunk of its own, and the most chunks.
-ROWS_PER_CHUNK = 1_000_000
+ROWS_PER_CHUNK = 100_000
 MIN_ROWS_PER_CHUNK = 1_000
 MAX_CHUNKS = 16_384
 SAMPLES_PER_CHUNK = 40
@@ -197,7 +198,15 @@ def carry(
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = summary.select(*keys, CHUNK, *[c.before(w).alias(c.name) for c in carries])
     after = summary.groupBy(*keys).agg(*[c.total().alias(c.name) for c in carries])
-    return df.join(before, [*keys, CHUNK]), after
+    return with_summary(df, before, [*keys, CHUNK]), after
+
+
+def with_summary(df: DataFrame, before: DataFrame, on: list[str]) -> DataFrame:
+    """Join rows of chunks with one row per chunk, in the tasks that hold the chunks.
+
+    Without the hint Spark may take either side for the small one, and send the rows through the driver.
+    """
+    return df.join(before.hint("merge"), on)
 
 
 def local(group: str | None, order: list[str], reverse: bool = False) -> WindowSpec:
@@ -220,37 +229,40 @@ def with_position(
     name: str = "__pos",
 ) -> tuple[DataFrame, DataFrame]:
     """Add the 1-based position of each row in its group, or in the whole input."""
-    df, after = carry(add_chunks(df, order, chunks), group, [count_rows()], state)
-    pos = F.col("__n") + F.row_number().over(local(group, order))
-    return df.withColumn(name, pos.cast("bigint")).drop("__n"), after
+    df = with_group(add_chunks(df, order, chunks), group)
+    df, after = carry(df.withColumn("__rn", F.row_number().over(local(group, order))), group, [count_rows()], state)
+    return df.withColumn(name, (F.col("__n") + F.col("__rn")).cast("bigint")).drop("__n", "__rn"), after
 
 
 def with_runs(
     df: DataFrame,
     order: list[str],
     group: str | None,
-    value: Column,
+    value: str,
     starts,
     state: DataFrame | None = None,
     chunks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Add ``__pos`` and ``__start``: a row's position and that of the first row of its run.
 
-    ``starts(previous, value)`` says whether a row opens a run, given its ``value`` and that of the
-    row before it in its group; the first row of a group always opens one.
+    ``starts(previous, value)`` says whether a row opens a run, given its column ``value`` and that of
+    the row before it in its group; the first row of a group always opens one.
 
     Only the first row of a chunk needs to know what came before, so the chunks are summed up from
     windows inside them, over the few columns involved, and the first rows are settled in the
-    summary. All columns are shuffled once.
+    summary. All columns are shuffled once, and the value is in them once.
     """
-    df = with_group(add_chunks(df, order, chunks).withColumn("__value", value), group)
+    df = with_group(add_chunks(df, order, chunks), group)
     keys, w = keys_of(group), local(group, order)
-    held = F.struct(F.col("__value").alias("v"))
-    narrow = df.select(*keys, CHUNK, *order, "__value")
-    narrow = narrow.withColumn("__rn", F.row_number().over(w)).withColumn("__lag", F.lag(held).over(w))
-    opens = F.col("__lag").isNotNull() & starts(F.col("__lag.v"), F.col("__value"))
-    narrow = narrow.withColumn("__open", F.when(opens, F.col("__rn")))
-    summary = narrow.groupBy(*keys, CHUNK).agg(
+
+    def inside(rows: DataFrame) -> DataFrame:
+        """Places in the chunk: of the row, and of the row if it opens a run after the first row."""
+        rows = rows.withColumn("__rn", F.row_number().over(w)).withColumn("__lag", F.lag(value).over(w))
+        opens = (F.col("__rn") > 1) & starts(F.col("__lag"), F.col(value))
+        return rows.withColumn("__open", F.when(opens, F.col("__rn"))).drop("__lag")
+
+    held = F.struct(F.col(value).alias("v"))
+    summary = inside(df.select(*dict.fromkeys([*keys, CHUNK, *order, value]))).groupBy(*keys, CHUNK).agg(
         F.count(F.lit(1)).alias("__n"),
         F.max_by(held, F.col("__rn")).alias("__last"),
         F.min_by(held, F.col("__rn")).alias("__first"),
@@ -265,10 +277,11 @@ def with_runs(
     summary = summary.withColumn("__before", F.coalesce(F.sum("__n").over(cw), F.lit(0)))
     summary = summary.withColumn("__prev", F.last("__last", ignorenulls=True).over(cw))
     first = F.col("__prev").isNull() | starts(F.col("__prev.v"), F.col("__first.v"))
+    summary = summary.withColumn("__opens", first)
     begin = (
         F.when(known, F.col("__begin"))
         .when(F.col("__begin").isNotNull(), F.col("__before") + F.col("__begin"))
-        .when(first, F.col("__before") + 1)
+        .when(F.col("__opens"), F.col("__before") + 1)
     )
     summary = summary.withColumn("__begin", begin)
     after = summary.groupBy(*keys).agg(
@@ -276,12 +289,10 @@ def with_runs(
         F.max_by("__last", CHUNK).alias("__last"),
         F.max("__begin").alias("__begin"),
     )
-    before = summary.select(*keys, CHUNK, "__before", "__prev", F.max("__begin").over(cw).alias("__begin"))
-    df = df.join(before, [*keys, CHUNK])
-    df = df.withColumn("__prev", F.coalesce(F.lag(held).over(w), F.col("__prev")))
-    df = df.withColumn("__pos", (F.col("__before") + F.row_number().over(w)).cast("bigint"))
-    opens = F.col("__prev").isNull() | starts(F.col("__prev.v"), F.col("__value"))
-    df = df.withColumn("__open", F.when(opens, F.col("__pos")))
-    w = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__start", F.coalesce(F.max("__open").over(w), F.col("__begin")))
-    return df.drop("__value", "__before", "__prev", "__begin", "__open"), after
+    before = summary.select(*keys, CHUNK, "__before", "__opens", F.max("__begin").over(cw).alias("__begin"))
+    latest = F.max("__open").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = with_summary(inside(df).withColumn("__latest", latest), before, [*keys, CHUNK])
+    df = df.withColumn("__pos", (F.col("__before") + F.col("__rn")).cast("bigint"))
+    first = F.when(F.col("__opens"), F.col("__before") + 1)
+    df = df.withColumn("__start", F.coalesce(F.col("__before") + F.col("__latest"), first, F.col("__begin")))
+    return df.drop("__rn", "__open", "__latest", "__opens", "__before", "__begin"), after

@@ -313,3 +313,23 @@ def test_empty_input(logs, spark):
 def test_bad_parameters(logs, call):
     with pytest.raises(ValueError):
         call(logs([("s", "x")]))
+
+
+def test_chunks_stay_small_as_lines_grow(spark):
+    from loglane.plans.chunks import number_of_chunks
+
+    rows = spark.range(1)
+    assert 5_000_000 // number_of_chunks(rows, 5_000_000) <= 100_000
+
+
+def test_lines_are_not_sent_through_the_driver_and_sorted_once(spark):
+    lines = table(spark, random_lines(3, 60))
+    for op in (lambda d: od.suppress(d, 2, chunks=3), lambda d: od.debounce(d, 2, chunks=3), lambda d: od.line_number(d, chunks=3), lambda d: od.with_byte_offset(d, chunks=3)):
+        out = op(lines)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        plan = plan[: plan.find("== Initial Plan")]
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        left = plan[plan.index("SortMergeJoin") :]
+        # From the join to the lines' own shuffle.
+        assert left[: left.index("Exchange hashpartitioning")].count("Sort [") == 1
