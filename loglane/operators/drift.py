@@ -91,12 +91,24 @@ def drift_fuzzy(df: DataFrame, threshold: float = 0.8, seen: DataFrame | None =
     below every ``seq``. On long texts the measure exceeds 1 for most pairs (see ``dice``), so
     clip them first (``truncate``).
     """
-    firsts, start = first_seen(df), None
+    firsts = first_seen(df)
     if seen is not None:
-        start = df.agg(F.min("seq")).first()[0]
-        firsts = firsts.join(seen.select("norm"), "norm", "left_anti")
-        firsts = firsts.unionByName(seen.select("norm", "first_seq"))
-    return mark_firsts(df, fuzzy_firsts(firsts, threshold, start))
+        firsts = cut(firsts.join(seen.select("norm"), "norm", "left_anti"))
+    return mark_firsts(df, unlike(firsts, threshold, seen))
+
+
+def unlike(new: DataFrame, threshold: float, seen: DataFrame | None) -> DataFrame:
+    """Forms among ``new`` that are like none before them, those ``seen`` earlier included; both ``norm, first_seq``.
+
+    With ``seen``, ``new`` should be cheap to read again and hold no form of it.
+    """
+    if seen is None:
+        return fuzzy_firsts(new, threshold)
+    start = new.agg(F.min("first_seq")).first()[0]
+    # Without new forms there is nothing to look for.
+    if start is None:
+        return new
+    return fuzzy_firsts(new.unionByName(seen.select("norm", "first_seq")), threshold, start)
 
 
 # --- against a snapshot, between two services -------------------------------------------------

@@ -178,7 +178,7 @@ def drift(mode: str = "uniq", threshold: float = 0.8) -> StreamStep:
             new = new.join(seen.select("norm"), "norm", "left_anti")
         new = cut(new)
         if mode == "fuzzy":
-            return dr.drift_fuzzy(df, threshold, seen), {"seen": new}
+            return dr.mark_firsts(df, dr.unlike(new, threshold, seen)), {"seen": new}
         return dr.mark_firsts(df, new), {"seen": new}
 
     return StreamStep(step, ["seen"])
