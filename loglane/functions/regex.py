@@ -347,10 +347,16 @@ def required_literals(pattern: str) -> list[str]:
 
     Found in the pattern's outermost level; what ignores case, and what a repetition can leave out, does not count.
     """
+    longest = [max(runs, key=len) for runs in required_runs(pattern)]
+    return longest if all(longest) else []
+
+
+def required_runs(pattern: str) -> list[list[str]]:
+    """The plain runs of each alternative, in order, each of which a match of that alternative has; see ``required_literals``."""
     translate(pattern)
     if re.search(r"\(\?[a-zA-Z]*i", pattern):
         return []
-    longest, runs, run, at = [], [], "", 0
+    alternatives, runs, run, at = [], [], "", 0
 
     def ended() -> None:
         nonlocal run
@@ -361,7 +367,7 @@ def required_literals(pattern: str) -> list[str]:
         ch, text = pattern[at], None
         if ch == "|":
             ended()
-            longest.append(max(runs, key=len))
+            alternatives.append(runs)
             runs, at = [], at + 1
             continue
         if ch in "^$" or pattern[at : at + 2] in (r"\b", r"\B", r"\A", r"\z"):
@@ -399,8 +405,8 @@ def required_literals(pattern: str) -> list[str]:
         else:
             run += text
     ended()
-    longest.append(max(runs, key=len))
-    return longest if all(longest) else []
+    alternatives.append(runs)
+    return alternatives
 
 
 def translate_replacement(template: str, pattern: Pattern) -> str:

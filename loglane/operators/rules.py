@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglane.functions.regex import required_literals, translate
+from loglane.functions.regex import required_literals, required_runs, translate
 from loglane.operators.aggregates import alerts
 from loglane.plans.lineage import broadcast_if_small, cut
 from loglane.schema import require
@@ -21,7 +21,10 @@ PASS_RULES = 200
 
 
 def _parsed(rules: DataFrame) -> DataFrame:
-    """``rule, pattern, java, literal`` for each literal of which a match must have one; a null literal if there is none."""
+    """``rule, pattern, java, literal, others`` for each literal of which a match must have one; a null literal if there is none.
+
+    ``others`` are the further texts that a match of the literal's alternative has.
+    """
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -30,10 +33,16 @@ def _parsed(rules: DataFrame) -> DataFrame:
                 if not rule:
                     raise ValueError("alerts: rule name must not be empty")
                 java = translate(pattern).java
-                out += [(rule, pattern, java, literal) for literal in dict.fromkeys(required_literals(pattern)) or [None]]
-            yield pd.DataFrame(out, columns=["rule", "pattern", "java", "literal"])
+                literals, others = required_literals(pattern), {}
+                # Alternatives with the same literal only share what all of them have.
+                for literal, runs in zip(literals, required_runs(pattern) if literals else [], strict=True):
+                    own = {r for r in runs if r and r not in literal}
+                    others[literal] = others[literal] & own if literal in others else own
+                out += [(rule, pattern, java, literal, sorted(rest)) for literal, rest in (others or {None: set()}).items()]
+            yield pd.DataFrame(out, columns=["rule", "pattern", "java", "literal", "others"])
 
-    return rules.select("rule", "pattern").mapInPandas(fn, "rule string, pattern string, java string, literal string")
+    schema = "rule string, pattern string, java string, literal string, others array<string>"
+    return rules.select("rule", "pattern").mapInPandas(fn, schema)
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -54,7 +63,7 @@ def literal_index(parsed: DataFrame) -> DataFrame:
     sizes = [F.when(F.col("size") == n, _pieces(F.col("literal"), n)) for n in PIECES]
     pieces = rows.select("*", F.explode(F.coalesce(*sizes)).alias("piece"))
     shared = pieces.groupBy("size", "piece").agg(F.count(F.lit(1)).alias("n"))
-    best = pieces.join(shared, ["size", "piece"]).groupBy("rule", "pattern", "java", "literal", "size")
+    best = pieces.join(shared, ["size", "piece"]).groupBy("rule", "pattern", "java", "literal", "others", "size")
     return best.agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
 
 
@@ -70,22 +79,30 @@ def table_alerts(df: DataFrame, rules: DataFrame) -> DataFrame:
     require(df, "seq", "service", "text")
     lines = df.select("seq", "service", "text").filter(F.col("text").isNotNull())
     parsed = cut(_parsed(rules))
-    index = cut(literal_index(parsed).withColumn("number", F.monotonically_increasing_id()))
-    keys = broadcast_if_small(index.select("size", "piece", "number"))
+    index = cut(literal_index(parsed))
+    keys = broadcast_if_small(cut(index.select("size", "piece").distinct()))
 
-    # Only numbers are multiplied by the pieces of a line; texts come back for the candidates.
+    # Lines meet the pieces of the index first, which many rules may share; only numbers are multiplied by the pieces of a
+    # line. Texts come back once for each piece found, and a rule is tried where it meets the line, so that only hits leave
+    # the join.
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
     found = []
     for n in sizes:
         own = lines.select("seq", F.explode(_pieces(F.col("text"), n)).alias("piece"))
-        found.append(own.join(keys.filter(F.col("size") == n), "piece").select("seq", "number"))
+        found.append(own.join(keys.filter(F.col("size") == n), "piece").select("seq", "size", "piece"))
     out = []
     if found:
-        tried = broadcast_if_small(index.select("number", "rule", "java", "literal"))
-        candidates = reduce(DataFrame.unionByName, found).join(tried, "number").join(lines, "seq")
-        hit = F.contains(F.col("text"), F.col("literal")) & F.regexp_like(F.col("text"), F.col("java"))
+        pieces = reduce(DataFrame.unionByName, found).join(lines.select("seq", "text"), "seq").alias("l")
+        tried = broadcast_if_small(index.select("size", "piece", "rule", "java", "literal", "others")).alias("r")
+        hit = (
+            (F.col("l.size") == F.col("r.size"))
+            & (F.col("l.piece") == F.col("r.piece"))
+            & F.contains(F.col("text"), F.col("literal"))
+            & F.forall("others", lambda x: F.contains(F.col("text"), x))
+            & F.regexp_like(F.col("text"), F.col("java"))
+        )
         # A line may meet a rule by several alternatives.
-        hits = candidates.filter(hit).select("rule", "seq").distinct()
+        hits = pieces.join(tried, hit).select("rule", "seq").distinct()
         out.append(hits.join(lines, "seq").select("rule", "service", F.col("text").alias("line"), "seq"))
     rest = [(r["rule"], r["pattern"]) for r in parsed.filter(F.col("literal").isNull()).select("rule", "pattern").distinct().toLocalIterator()]
     for at in range(0, len(rest), PASS_RULES):

@@ -65,3 +65,16 @@ def test_a_table_of_rules_is_a_list_of_rules(spark, monkeypatch, most):
     for bad in [("", "a"), ("r", "(")]:
         with pytest.raises(Exception, match="alerts: rule name|invalid pattern"):
             ru.table_alerts(df, spark.createDataFrame([bad], none.schema)).collect()
+
+
+def test_rules_that_share_a_piece_are_told_apart_in_the_join(spark):
+    rules = [(f"r{k}", rf"user=12 [a-z]={k}\b") for k in range(30)] + [("two", "user=12 k=|a=1.b user=12 k="), ("alt", "ab.cd|ab.ef")]
+    table = spark.createDataFrame(rules, "rule string, pattern string")
+    others = {(r["rule"], r["literal"]): r["others"] for r in ru._parsed(table).collect()}
+    assert others["r7", "user=12 "] == ["=7"] and others["two", "user=12 k="] == [] and others["two", "b user=12 k="] == ["a=1"]
+    assert others["alt", "ab"] == []
+    lines = [(i, "s", f"{'a=1xb ' if i % 3 else ''}user=12 k={i % 40} ab{'-' * (i % 2)}ef") for i in range(60)]
+    df = spark.createDataFrame(lines, "seq long, service string, text string")
+    got = ru.table_alerts(df, table)
+    want = ag.alerts(df, rules).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
