@@ -12,6 +12,8 @@ Format: a Parquet data set, one row per shard of whole documents. ``bucket, shar
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ from loglane.llm.shared import TEXT_ROWS, arrow_rows, shared_folder, slices, tex
 # Ids of a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 RANK_BITS = 512
-# Distinct strings whose ids a task remembers.
+# Distinct strings whose ids a worker remembers, about.
 REMEMBER = 400_000
 
 COUNT_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -85,6 +87,17 @@ SIGNS = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
 
 
 def _encoder(tokenizer_file: str):
+    """The encoder of this process: a worker keeps it for its next tasks, with the strings that it remembers.
+
+    Functions of this package travel with each task anew, so what stays has a module of its own.
+    """
+    kept = sys.modules.setdefault("loglane_kept", types.ModuleType("loglane_kept")).__dict__
+    if kept.get("tokenizer_file") != tokenizer_file:
+        kept.update(tokenizer_file=tokenizer_file, encoder=_new_encoder(tokenizer_file))
+    return kept["encoder"]
+
+
+def _new_encoder(tokenizer_file: str):
     """Packed ids of the strings of a text between white space, each distinct one encoded once by the library."""
     import os
 
@@ -93,18 +106,24 @@ def _encoder(tokenizer_file: str):
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    # Strings met lately, and before; those that are met again stay.
     known: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
 
     def by_library(words: list[bytes]) -> None:
         found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         known.update(zip(words, [np.array(x.ids, kind).tobytes() for x in found], strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > REMEMBER:
-            known.clear()
+        nonlocal known, older
+        if 2 * len(known) > REMEMBER:
+            known, older = {}, known
         # The library lower-cases, but finds special tokens before that.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         fresh = set().union(*words).difference(known)
+        again = fresh.intersection(older)
+        known.update({w: older[w] for w in again})
+        fresh -= again
         # Signs after an ASCII letter or digit are encoded apart, as the library splits there.
         parts = {}
         for w in fresh:

@@ -1,6 +1,8 @@
 """Token codes and byte-level BPE against the tokenizer libraries and by round trips."""
 
 import random
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -80,3 +82,14 @@ def test_bpe(spark, monkeypatch):
     assert sorted(r.decoded for r in back) == sorted((r[1] or "").encode() for r in rows)
     assert {r.row.ids for r in back} == {"x"} and all(r.n_tokens == len(r.ids) for r in back)
     assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_worker_remembers_words_between_tasks(monkeypatch):
+    monkeypatch.setattr(dac, "REMEMBER", 4)
+    encode, kind = dac._new_encoder(WORDS)
+    monkeypatch.setitem(sys.modules, "loglane_kept", types.SimpleNamespace(tokenizer_file=WORDS, encoder=(encode, kind)))
+    assert dac._encoder(WORDS)[0] is encode
+    library = Tokenizer.from_file(WORDS)
+    for t in texts(60) * 2:
+        line = (t or "").replace("\x85", " ")
+        assert np.frombuffer(encode([line.encode()])[0], kind).tolist() == library.encode(line, add_special_tokens=False).ids
