@@ -83,7 +83,8 @@ def last_row(value: Column, order: list[str], name: str) -> Carry:
 def number_of_chunks(df: DataFrame, rows: int) -> int:
     """Enough chunks to use every core and to bound the size of each; one for small inputs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = max(cores, -(-rows // ROWS_PER_CHUNK))
+    # From 1000 chunks on they grow first, up to ten times: their summaries meet in one window.
+    wanted = max(cores, min(-(-rows // ROWS_PER_CHUNK), max(1000, -(-rows // (10 * ROWS_PER_CHUNK)))))
     return max(1, min(wanted, rows // MIN_ROWS_PER_CHUNK, MAX_CHUNKS))
 
 
