@@ -10,11 +10,13 @@ The search then has two steps:
 
 1. Every class is compared with the least class it shares a segment with. This joins large families of near
    copies with one comparison or a few per member. Their components are the first result.
-2. Token-group matrix: classes are partitioned into groups (the leader they share most segments with, split by
-   component), and groups, in order of size, into blocks. The matrix has a row for each (segment, block). A class of
-   another component whose segments meet a block's row, and whose size is near that of the row's members, queries that
-   block: its overlap with the union of the block's shingles bounds its overlap with every member, and only blocks
-   whose bound reaches the threshold are opened and compared member by member.
+2. Token-group matrix: classes are partitioned into groups (large components apart, others by the component of a
+   leader of the leader they share most segments with), and groups, in order of size, into blocks of bounded shingles. The matrix has
+   a row for each (segment, block). A class of another component whose segments meet a block's row, and whose size is
+   near that of the row's members, queries that block: its overlap with the union of the block's shingles bounds its
+   overlap with every member, and only blocks whose bound reaches the threshold are opened and compared member by
+   member. Classes of smaller components query those of larger ones, never the other way, so a large family of near
+   copies queries nothing for the few that are left outside of it.
 
 No pairs inside a component are enumerated and none outside are left out, so the components are exact, up to
 collisions of 64-bit hashes (for N different sets, odds of about N*N / 2**65 for one false merge).
@@ -37,11 +39,11 @@ from loglane.llm.shared import (
     LOWER, NARROW_ROWS, SPACE, arrow_rows, bytes_of, distinct_per_row, hashes, in_batches, mix, runs, slices, store, sums_between, texts_of,
 )
 
-# Rows of a block of the matrix, and queries that one task holds against a block.
-BLOCK_ROWS = 256
-QUERY_ROWS = 1024
-# Components of this size have groups of their own.
-OWN_GROUP = 32
+# Shingles of a block of the matrix, about, and queries that one task holds against a block.
+BLOCK_SHINGLES = 1 << 20
+QUERY_ROWS = 512
+# Components of this size have groups of their own; others are grouped by their leader's leader, so many times.
+OWN_GROUP, LEADERS = 32, 2
 # Segments kept before they are sent on.
 FLUSH = 1 << 20
 
@@ -299,35 +301,42 @@ def class_links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> D
     near = store(near, "links")
     first = components(near)
 
-    # Groups: the leader most segments point to, apart for large components, in blocks of one range of sizes.
-    own = votes.groupBy("key").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("lead"))
+    # Groups: the leader most segments point to, if there is another, apart for large components, in blocks of one range of sizes.
+    own = votes.groupBy("key").agg(F.max_by("lead", F.struct(F.col("lead") != F.col("key"), "votes", -F.col("lead"))).alias("lead"))
     comp = F.coalesce("root", "key").alias("comp")
     own = own.join(first.withColumnRenamed("node", "key"), "key", "left").select("key", "lead", comp)
-    large = own.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OWN_GROUP).select("comp", F.lit(True).alias("large"))
-    own = own.join(large, "comp", "left")
-    own = own.join(tokens.select("key", F.length("tokens").alias("size")), "key")
-    group = F.when(F.col("large"), F.xxhash64("comp")).otherwise(F.xxhash64("lead", F.lit(0)))
-    own = store(own.select("key", "comp", "size", group.alias("grp")), "groups")
+    kin = own.groupBy("comp").agg(F.count(F.lit(1)).alias("kin"))
+    own = store(own.join(kin, "comp").join(tokens.select("key", F.length("tokens").alias("size")), "key"), "own")
+    # Leaders of leaders, and their component, so that what is left of a family meets in few blocks whatever its leaders.
+    leaders = own.select(F.col("key").alias("lead"), F.col("lead").alias("next"), F.col("comp").alias("lead_comp"))
+    for _ in range(LEADERS):
+        own = own.join(leaders.drop("lead_comp"), "lead").drop("lead").withColumnRenamed("next", "lead")
+    own = own.join(leaders.drop("next"), "lead")
+    group = F.when(F.col("kin") >= OWN_GROUP, F.xxhash64("comp")).otherwise(F.xxhash64("lead_comp", F.lit(0)))
+    own = store(own.select("key", "comp", "kin", "size", group.alias("grp")), "groups")
 
     # Blocks: within a group by size; a group may be large, so its blocks come from counted ranges of sizes.
     counts = own.groupBy("grp", "size").agg(F.count(F.lit(1)).alias("n"))
     by_size = Window.partitionBy("grp").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("range", F.floor((F.sum("n").over(by_size) - F.col("n")) / BLOCK_ROWS))
-    counts = counts.withColumn("splits", F.ceil(F.col("n") / BLOCK_ROWS))
+    # Eight bytes a shingle.
+    counts = counts.withColumn("held", F.col("n") * F.col("size") / 8)
+    counts = counts.withColumn("range", F.floor((F.sum("held").over(by_size) - F.col("held")) / BLOCK_SHINGLES))
+    counts = counts.withColumn("splits", F.ceil(F.col("held") / BLOCK_SHINGLES))
     split = F.pmod(F.xxhash64("key", F.lit(1)), F.col("splits"))
-    member = own.join(counts, ["grp", "size"]).select("key", "comp", "size", F.xxhash64("grp", "range", split).alias("block"))
+    member = own.join(counts, ["grp", "size"]).select("key", "comp", "kin", "size", F.xxhash64("grp", "range", split).alias("block"))
     member = store(member, "members")
 
     # The matrix of segments and blocks, and the queries: classes that meet a row with another component.
-    # Of two blocks only the lesser queries the other.
+    # The class of the smaller component queries; of two blocks with components of one size only the lesser queries the other.
     marked = store(shared.join(member, "key"), "matrix")
     row = marked.groupBy("seg", "block").agg(
-        F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("size").alias("small"), F.max("size").alias("big")
-    )
+        F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("size").alias("small"), F.max("size").alias("big"),
+        F.min("kin").alias("few"), F.max("kin").alias("many"),
+    )
     several = row.groupBy("seg").agg(F.min("least").alias("x"), F.max("most").alias("y")).filter("x <> y").select("seg")
     row = row.join(several, "seg").withColumnRenamed("block", "other")
     fits = f"100 * size >= {percent} * small and 100 * big >= {percent} * size"
-    asks = marked.join(row, "seg").filter(f"block <= other and (least <> comp or most <> comp) and {fits}")
+    asks = marked.join(row, "seg").filter(f"(kin < many or kin between few and many and block <= other) and (least <> comp or most <> comp) and {fits}")
     asks = store(asks.select(F.col("other").alias("block"), "key", "comp").distinct(), "asks")
     member = member.join(asks.select("block").distinct(), "block", "left_semi")
     lots = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("lots"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from brute import Groups, jaccard
 
+from loglane.llm import jaccard as join
 from loglane.llm.components import components
 from loglane.llm.jaccard import jaccard_components, keep_one
 
@@ -39,6 +40,22 @@ def test_families(spark, seed):
     assert run(spark, rows) == sorted(jaccard(rows), key=repr)
 
 
+def test_family_of_unlinked_copies(spark, monkeypatch):
+    # Copies too far from each other to be linked share most segments: each may query a few blocks, not one for every leader.
+    r = random.Random(4)
+    base, rows = [f"w{r.randrange(5000)}" for _ in range(400)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(r.choice([1, 3, 8, 10, 12])):
+            words[r.randrange(len(words))] = f"z{i} {r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    stored, store = {}, join.store
+    monkeypatch.setattr(join, "store", lambda df, name="llm": stored.setdefault(name, store(df, name)) if name == "asks" else store(df, name))
+    assert run(spark, rows) == sorted(jaccard(rows), key=repr)
+    asks, asking = stored["asks"].count(), stored["asks"].select("key").distinct().count()
+    assert 100 < asking < 300 and asks <= 2 * asking
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "Ä b c"), (4, "Ä b c"), (None, "ä b c"), (None, "a b c d"), (5, "A  B C D"), (6, "one"), (7, "ONE")]
     rows += [(8, "one\x1cone"), (9, "w " * 40_000), (10, "W\f" * 40_001), (None, None), (11, "x y"), (12, "x y z")]
