@@ -12,9 +12,12 @@ Format: a Parquet data set, one row per shard of whole documents. ``bucket, shar
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +87,19 @@ def bounds_of(docs: DataFrame, buckets: int) -> list[int]:
 
 # ASCII signs that end a word apart from it; an apostrophe may begin a piece of its own.
 SIGNS = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
+# A run of Latin letters that composition leaves alone, and signs after it.
+PLAIN = re.compile(f"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{re.escape(SIGNS.decode())}]*)")
+# Steps of a tokenizer for which such a run is, in lower case, one string of the model, written by the byte-level table.
+PLAIN_STEPS = [
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {
+            "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed", "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+]
 
 
 def _encoder(tokenizer_file: str):
@@ -97,6 +113,20 @@ def _encoder(tokenizer_file: str):
     return kept["encoder"]
 
 
+def _byte_level(text: str) -> str:
+    from tokenizers import pre_tokenizers
+
+    return "".join(x for x, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text))
+
+
+def _plain_steps(tokenizer) -> bool:
+    """Whether runs of letters may be given to the tokenizer's model at once."""
+    whole = json.loads(tokenizer.to_str())
+    first, then = whole["normalizer"] or {}, whole["pre_tokenizer"] or {}
+    steps = [first.get("normalizers"), then.get("pretokenizers")]
+    return steps == PLAIN_STEPS and not whole["post_processor"] and all(x["content"].startswith("<|") for x in whole["added_tokens"])
+
+
 def _new_encoder(tokenizer_file: str):
     """Packed ids of the strings of a text between white space, each distinct one encoded once by the library."""
     import os
@@ -106,13 +136,20 @@ def _new_encoder(tokenizer_file: str):
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    code, model = "H" if kind is np.uint16 else "I", tokenizer.model
+    written = {c: _byte_level(chr(c)) for c in range(0xC0, 0x100)} if _plain_steps(tokenizer) else None
     # Strings met lately, and before; those that are met again stay.
     known: dict[bytes, bytes] = {}
     older: dict[bytes, bytes] = {}
 
     def by_library(words: list[bytes]) -> None:
         found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        known.update(zip(words, [np.array(x.ids, kind).tobytes() for x in found], strict=True))
+        known.update(zip(words, [array(code, x.ids).tobytes() for x in found], strict=True))
+
+    def by_model(runs: dict[bytes, str]) -> None:
+        for raw, run in runs.items():
+            found = model.tokenize(run if run.isascii() else run.lower().translate(written))
+            known[raw] = array(code, [x.id for x in found]).tobytes()
 
     def encode(texts: list[bytes]) -> list[bytes]:
         nonlocal known, older
@@ -124,13 +161,22 @@ def _new_encoder(tokenizer_file: str):
         again = fresh.intersection(older)
         known.update({w: older[w] for w in again})
         fresh -= again
-        # Signs after an ASCII letter or digit are encoded apart, as the library splits there.
-        parts = {}
+        # Signs after an ASCII letter or digit, or a plain run, are encoded apart, as the library splits there.
+        parts, runs = {}, {}
         for w in fresh:
+            if written and (plain := PLAIN.fullmatch(w.decode())):
+                run, signs = plain.groups()
+                raw = run.encode() if signs else w
+                if raw not in known:
+                    runs[raw] = run
+                if signs:
+                    parts[w] = (raw, w[len(raw) :])
+                continue
             core = w.rstrip(SIGNS)
             if core and len(core) < len(w) and core[-1] < 128 and core[-1:].isalnum():
                 parts[w] = (core, w[len(core) :])
-        by_library(list((fresh.difference(parts)).union(*parts.values()).difference(known)) if parts else list(fresh))
+        by_model(runs)
+        by_library(list(fresh.difference(parts).union(*parts.values()).difference(known)))
         known.update({w: known[a] + known[b] for w, (a, b) in parts.items()})
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 

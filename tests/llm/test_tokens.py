@@ -93,3 +93,31 @@ def test_a_worker_remembers_words_between_tasks(monkeypatch):
     for t in texts(60) * 2:
         line = (t or "").replace("\x85", " ")
         assert np.frombuffer(encode([line.encode()])[0], kind).tolist() == library.encode(line, add_special_tokens=False).ids
+
+
+def test_plain_runs_go_to_the_model_at_once(monkeypatch):
+    given = []
+
+    class Counting:
+        def __init__(self, whole):
+            self.whole = whole
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+        def __getattr__(self, name):
+            return getattr(self.whole, name)
+
+        def encode_batch_fast(self, words, **options):
+            given.extend(words)
+            return self.whole.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counting)
+    encode, kind = dac._new_encoder(WORDS)
+    odd = ["É École, Über!! ẞ straße. ×÷ a×b", "é é, é́! x̸= o̸", "don't l'été's c'est ŉ ǅ ﬁ", "<|endoftext|>É abc<|endoftext|>", "ab1,, 1ab é9 9é.", "a\x1cb a\xa0b", ""]
+    plain = ["Straße und Häuser, señor! deja vu: (nein)", "über. Über; ÜBER"]
+    library = Tokenizer.from_file(WORDS)
+    got = [np.frombuffer(x, kind).tolist() for x in encode([t.encode() for t in odd + plain])]
+    assert got == [x.ids for x in library.encode_batch(odd + plain, add_special_tokens=False)]
+    assert not {"straße", "und", "häuser", "señor", "vu", "über", "Über"} & set(given)
