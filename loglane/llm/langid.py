@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from dataclasses import astuple, dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,11 @@ BLOCK = 1 << 17
 # Share of all uses of a language that each piece gets on top of its own.
 SMOOTHING = 1e-7
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-# Words whose scores a task remembers, and words that it gathers before it sends counts on.
+# Words whose scores a task remembers, strings that it gathers before it sends counts on, and counted words that it
+# learns from at once: each pass is over the words of one length, so it needs many.
 REMEMBER = 300_000
 GATHER = 300_000
+LEARN_ROWS = 100_000
 ROUNDS = 2
 UNDETERMINED = "und"
 
@@ -116,7 +119,15 @@ def _letters() -> tuple[re.Pattern, re.Pattern]:
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters with their marks; numerals that are no digits are no letters."""
-    text = text.lower()
+    return _runs_of(text.lower())
+
+
+def strings_of(text: str) -> list[str]:
+    """The lower-case strings of a text between white space, which no word goes over: its words are theirs, in order."""
+    return text.lower().split()
+
+
+def _runs_of(text: str) -> list[str]:
     if text.isascii():
         return ASCII_LETTERS.findall(text)
     whole, special = _letters()
@@ -167,7 +178,11 @@ def _forward(codes: np.ndarray, spans, table: np.ndarray, longest: int) -> tuple
         if i % RESCALE == 0 and i and i not in divisors:
             divisors[i] = alpha[i].copy()
             alpha[i : i + longest] /= divisors[i]
-        alpha[j] += alpha[i] * table[found] * SCALE ** (j - i)
+        at = np.flatnonzero(found >= 0)
+        if 2 * len(at) > len(found):
+            alpha[j] += alpha[i] * table[found] * SCALE ** (j - i)
+        else:
+            alpha[j, at] += alpha[i, at] * table[found[at]] * SCALE ** (j - i)
     return alpha, divisors
 
 
@@ -225,8 +240,16 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
 
         def flush():
-            rows = [(k, w, n) for k, c in held.items() for w, n in c.items()]
+            rows = []
+            for k, c in held.items():
+                words: Counter = Counter()
+                for string, n in c.items():
+                    for w in _runs_of(string):
+                        words[w] += n
+                rows += [(k, w, n) for w, n in words.items()]
             held.clear()
+            if not rows:
+                return pa.record_batch({"lang": pa.array([], pa.string()), "word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
             langs, words, counts = zip(*rows, strict=True)
             return pa.record_batch({"lang": pa.array(langs), "word": pa.array(words), "n": pa.array(counts, pa.int64())})
 
@@ -234,7 +257,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             texts, langs = texts_of(batch, "text"), batch.column(batch.schema.get_field_index("lang"))
             for at, to in slices(texts):
                 for text, lang in zip(texts[at:to].to_pylist(), langs[at:to].to_pylist(), strict=True):
-                    held.setdefault(lang, Counter()).update(words_of(text))
+                    held.setdefault(lang, Counter()).update(strings_of(text))
                 if sum(map(len, held.values())) > GATHER:
                     yield flush()
         if any(held.values()):
@@ -270,7 +293,7 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Model:
             vocab, table = Pieces(*now.value[0]), now.value[1]
             number = {k: i for i, k in enumerate(languages)}
             sums = np.zeros((vocab.size, len(languages)))
-            for batch in gathered(batches):
+            for batch in gathered(batches, LEARN_ROWS):
                 names = np.array([number[x] for x in batch.column(0).to_pylist()])
                 words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
                 for k in np.unique(names):
@@ -303,26 +326,32 @@ def predict(docs: DataFrame, pieces: Pieces, model: Model) -> DataFrame:
 
     def fn(batches):
         vocab, model = Pieces(*shared.value[0]), Model(*shared.value[1])
+        # Numbers of words, and those of the words of each string.
         known: dict[str, int] = {}
+        numbers: dict[str, tuple[int, ...]] = {}
         scores = np.zeros((0, len(model.languages)))
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
             texts, best, share = texts_in(batch.column(0)), [], []
             for at, to in slices(texts):
-                docs_words = [words_of(t) for t in texts[at:to].to_pylist()] if model.languages else [[]] * (to - at)
-                if len(known) > REMEMBER:
+                docs_strings = [strings_of(t) for t in texts[at:to].to_pylist()] if model.languages else [[]] * (to - at)
+                if max(len(known), len(numbers)) > REMEMBER:
                     known.clear()
+                    numbers.clear()
                     scores = scores[:0]
-                fresh = sorted(set().union(*docs_words).difference(known))
+                new = {x: _runs_of(x) for x in set().union(*docs_strings).difference(numbers)}
+                fresh = sorted(set().union(*new.values()).difference(known))
                 if fresh:
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     scores = np.vstack((scores, word_scores(fresh, vocab, model.probabilities)))
-                for p in docs_words:
-                    if not p:
+                numbers.update({x: tuple(map(known.__getitem__, ws)) for x, ws in new.items()})
+                for p in docs_strings:
+                    own = np.array(list(chain.from_iterable(map(numbers.__getitem__, p))), np.int64)
+                    if not len(own):
                         best.append(len(model.languages))
                         share.append(0.0)
                         continue
-                    total = scores[np.fromiter(map(known.__getitem__, p), np.int64, len(p))].sum(axis=0)
+                    total = scores[own].sum(axis=0)
                     k = int(total.argmax())
                     best.append(k)
                     share.append(float(1.0 / np.exp(total - total[k]).sum()))

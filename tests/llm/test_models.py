@@ -87,6 +87,12 @@ def test_long_words_and_letters():
     assert np.isfinite(langid.word_scores(["字" * 300, "z" * 31], PIECES, tiny)).all()
 
 
+def test_strings_have_the_words_of_their_text():
+    text = "It's ΟΔΟΣ ὈΔΥΣΣΕΎΣ\u2003a\u0301b x\u0338\u00a0y\u2028z1 Ⅷa\x1cb\x85İstanbul 日本\u3000語 a-b_c " * 3
+    strings = langid.strings_of(text)
+    assert len(strings) > 30 and [w for x in strings for w in langid._runs_of(x)] == langid.words_of(text)
+
+
 def test_languages(spark):
     en, de = "the cat and the dog were with this thing", "der hund und die katze sind nicht mit dem ding"
     learn = [(en, "en"), (de, "de"), (None, "en"), ("x", None)]
