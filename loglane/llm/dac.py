@@ -22,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglane.llm.shared import TEXT_ROWS, arrow_rows, shared_folder, slices, texts_of
+from loglane.llm.shared import BATCH_BYTES, TEXT_ROWS, arrow_rows, shared_folder, slices, texts_of
 
 # Ids of a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 RANK_BITS = 512
 # Distinct strings whose ids a worker remembers, about.
 REMEMBER = 400_000
+# Strings whose ids are put in order at a time.
+SOME_STRINGS = 1 << 18
 
 COUNT_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -86,9 +89,9 @@ def bounds_of(docs: DataFrame, buckets: int) -> list[int]:
 
 
 # ASCII signs that end a word apart from it; an apostrophe may begin a piece of its own.
-SIGNS = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
+SIGNS = "!#$%&()*+,-./:;=?@[]^_`{|}~"
 # A run of Latin letters that composition leaves alone, and signs after it.
-PLAIN = re.compile(f"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{re.escape(SIGNS.decode())}]*)")
+PLAIN = re.compile(f"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{re.escape(SIGNS)}]*)")
 # Steps of a tokenizer for which such a run is, in lower case, one string of the model, written by the byte-level table.
 PLAIN_STEPS = [
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -127,6 +130,21 @@ def _plain_steps(tokenizer) -> bool:
     return steps == PLAIN_STEPS and not whole["post_processor"] and all(x["content"].startswith("<|") for x in whole["added_tokens"])
 
 
+def _in_order(found: list[bytes], words: np.ndarray, cuts: np.ndarray, kind: type) -> list[bytes]:
+    """The packed ids of each text: those of its words, which are numbers in ``found``; ``cuts`` are where texts begin."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(kind).itemsize
+    ids, begins = np.frombuffer(b"".join(found), kind), np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes[words].sum()), kind)
+    ends = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(sizes[words], out=ends[1:])
+    for at in range(0, len(words), SOME_STRINGS):
+        some, stops = words[at : at + SOME_STRINGS], ends[at : at + SOME_STRINGS + 1]
+        places = np.repeat(begins[some] - stops[:-1], sizes[some])
+        out[stops[0] : stops[-1]] = ids[places + np.arange(stops[0], stops[-1])]
+    ends = ends[cuts].tolist()
+    return [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _new_encoder(tokenizer_file: str):
     """Packed ids of the strings of a text between white space, each distinct one encoded once by the library."""
     import os
@@ -139,46 +157,47 @@ def _new_encoder(tokenizer_file: str):
     code, model = "H" if kind is np.uint16 else "I", tokenizer.model
     written = {c: _byte_level(chr(c)) for c in range(0xC0, 0x100)} if _plain_steps(tokenizer) else None
     # Strings met lately, and before; those that are met again stay.
-    known: dict[bytes, bytes] = {}
-    older: dict[bytes, bytes] = {}
+    known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
-    def by_library(words: list[bytes]) -> None:
-        found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def by_library(words: list[str]) -> None:
+        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
         known.update(zip(words, [array(code, x.ids).tobytes() for x in found], strict=True))
 
-    def by_model(runs: dict[bytes, str]) -> None:
-        for raw, run in runs.items():
+    def by_model(runs: set[str]) -> None:
+        for run in runs:
             found = model.tokenize(run if run.isascii() else run.lower().translate(written))
-            known[raw] = array(code, [x.id for x in found]).tobytes()
+            known[run] = array(code, [x.id for x in found]).tobytes()
 
     def encode(texts: list[bytes]) -> list[bytes]:
         nonlocal known, older
         if 2 * len(known) > REMEMBER:
             known, older = {}, known
         # The library lower-cases, but finds special tokens before that.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        fresh = set().union(*words).difference(known)
-        again = fresh.intersection(older)
-        known.update({w: older[w] for w in again})
-        fresh -= again
+        lines = pc.ascii_split_whitespace(pa.array([t if b"<|" in t else t.lower() for t in texts], pa.binary()).cast(pa.string()))
+        words = lines.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = set(distinct).difference(known)
+        again = {w: older[w] for w in fresh if w in older}
+        known.update(again)
+        fresh.difference_update(again)
         # Signs after an ASCII letter or digit, or a plain run, are encoded apart, as the library splits there.
-        parts, runs = {}, {}
+        parts, runs = {}, set()
         for w in fresh:
-            if written and (plain := PLAIN.fullmatch(w.decode())):
+            if written and (plain := PLAIN.fullmatch(w)):
                 run, signs = plain.groups()
-                raw = run.encode() if signs else w
-                if raw not in known:
-                    runs[raw] = run
+                if run not in known:
+                    runs.add(run)
                 if signs:
-                    parts[w] = (raw, w[len(raw) :])
+                    parts[w] = (run, signs)
                 continue
             core = w.rstrip(SIGNS)
-            if core and len(core) < len(w) and core[-1] < 128 and core[-1:].isalnum():
+            if core and len(core) < len(w) and core[-1].isascii() and core[-1].isalnum():
                 parts[w] = (core, w[len(core) :])
         by_model(runs)
         by_library(list(fresh.difference(parts).union(*parts.values()).difference(known)))
         known.update({w: known[a] + known[b] for w, (a, b) in parts.items()})
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        return _in_order([known[w] for w in distinct], words.indices.to_numpy(), lines.offsets.to_numpy(), kind)
 
     return encode, kind
 
@@ -200,7 +219,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, bounds: list[in
         end, wide = np.array([end_id], kind).tobytes(), b"" if kind is np.uint16 else b"\0"
         for batch in batches:
             texts, doc_ids = texts_of(batch, "text"), batch.column(0)
-            for at, to in slices(texts):
+            for at, to in slices(texts, BATCH_BYTES):
                 raw = [t.encode() for t in texts[at:to].to_pylist()]
                 blobs = [wide + x + end for x in encode(raw)]
                 tie = np.fromiter((zlib.crc32(t) for t in raw), np.int64, len(raw))

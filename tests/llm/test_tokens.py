@@ -121,3 +121,16 @@ def test_plain_runs_go_to_the_model_at_once(monkeypatch):
     got = [np.frombuffer(x, kind).tolist() for x in encode([t.encode() for t in odd + plain])]
     assert got == [x.ids for x in library.encode_batch(odd + plain, add_special_tokens=False)]
     assert not {"straße", "und", "häuser", "señor", "vu", "über", "Über"} & set(given)
+
+
+def test_a_string_is_looked_up_once_for_all_its_uses(monkeypatch):
+    monkeypatch.setattr(dac, "SOME_STRINGS", 7)
+    given, in_order = [], dac._in_order
+    monkeypatch.setattr(dac, "_in_order", lambda found, *more: given.append(len(found)) or in_order(found, *more))
+    encode, kind = dac._new_encoder(WORDS)
+    library = Tokenizer.from_file(WORDS)
+    lines = ["the cat, the dog " * 50, "", "  dog\v\fthe ", "\x1cthe\x1c"]
+    got = [np.frombuffer(x, kind).tolist() for x in encode([t.encode() for t in lines])]
+    assert got == [x.ids for x in library.encode_batch(lines, add_special_tokens=False)]
+    # "the", "cat,", "dog", the string with separators, and the empty one.
+    assert given == [5]
