@@ -12,11 +12,10 @@ all languages and many words at a time.
 from __future__ import annotations
 
 import re
-import sys
+import string
 import unicodedata
 from collections import Counter
 from dataclasses import astuple, dataclass
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +25,9 @@ from pyspark.sql import functions as F
 
 from loglane.llm.shared import TEXT_ROWS, arrow_rows, gathered, slices, store, texts_in, texts_of
 
-ASCII_LETTERS, PLAIN_LETTERS = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
+ASCII_LETTERS, LETTERS_AND_MARKS = re.compile("[a-z]+"), re.compile("L[LM]*")
+# Signs and digits, which are no letters and no marks.
+SIGNS = string.punctuation + string.digits
 MARK = "▁"
 # Keeps products over some places within double range: about the inverse probability of a letter. Every so many places
 # the sums are scaled anew, so that words may have any length.
@@ -50,6 +51,7 @@ class Pieces:
     """The vocabulary as hashes in open slots; the last id stands for any single character that is no piece.
 
     A hash has one slot in each table, by bits of its own; what a slot taken before turns away lies in the next.
+    Beginnings of pieces that are no pieces are there too, with the id ``size``.
     """
 
     keys: list[np.ndarray]
@@ -58,11 +60,24 @@ class Pieces:
     size: int
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of hashes, or -1."""
-        out = np.full(len(hashes), -1, np.int64)
+        """Ids of pieces, or -1."""
+        found = self.begun(hashes)
+        found[found == self.size] = -1
+        return found
+
+    def begun(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of pieces, ``size`` for what only begins one, or -1."""
+        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
         for level, (keys, ids) in enumerate(zip(self.keys, self.ids, strict=True)):
             slot = _slot(hashes, level)
-            np.copyto(out, ids[slot], where=keys[slot] == hashes)
+            there = keys[slot]
+            hit = there == hashes
+            out[left[hit]] = ids[slot[hit]]
+            # Only a taken slot turns a hash away.
+            more = ~hit & (there != 0)
+            left, hashes = left[more], hashes[more]
+            if not len(left):
+                break
         return out
 
 
@@ -80,7 +95,9 @@ def vocabulary(model_file: str) -> Pieces:
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     special = (sp.is_control, sp.is_unknown, sp.is_byte, sp.is_unused)
     names = [(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not any(is_special(i) for is_special in special)]
-    left = (np.array([_hash(p) for _, p in names], np.uint64), np.array([i for i, _ in names], np.int64))
+    size = sp.get_piece_size() + 1
+    found = {p[:k]: size for _, p in names for k in range(1, len(p))} | {p: i for i, p in names}
+    left = (np.array([_hash(p) for p in found], np.uint64), np.array(list(found.values()), np.int64))
     keys, ids = [], []
     while len(left[0]):
         slots, first = np.unique(_slot(left[0], len(keys)), return_index=True)
@@ -90,7 +107,7 @@ def vocabulary(model_file: str) -> Pieces:
         left = tuple(np.delete(x, first) for x in left)
         if len(keys) > 5:
             raise ValueError("too many pieces for the slots")
-    return Pieces(keys, ids, max(len(p) for _, p in names), sp.get_piece_size() + 1)
+    return Pieces(keys, ids, max(len(p) for _, p in names), size)
 
 
 def _hash(piece: str) -> int:
@@ -100,23 +117,6 @@ def _hash(piece: str) -> int:
     return h
 
 
-@cache
-def _letters() -> tuple[re.Pattern, re.Pattern]:
-    """Runs of letters (Unicode category L) with the marks (M) after them; and what a text must have for this to differ
-    from the plain runs: marks, numerals that are no digits, or characters beyond 16 bits."""
-    kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
-
-    def ranges(chosen: list[bool]) -> str:
-        edges = [c for c in range(len(chosen)) if chosen[c] != (c > 0 and chosen[c - 1])]
-        if len(edges) % 2:
-            edges.append(len(chosen))
-        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
-
-    letter, mark = (ranges([k[0] == kind for k in kinds]) for kind in "LM")
-    special = ranges([c >> 16 > 0 or k[0] == "M" or k in ("Nl", "No") for c, k in enumerate(kinds)])
-    return re.compile(f"[{letter}][{letter}{mark}]*"), re.compile(f"[{special}]")
-
-
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters with their marks; numerals that are no digits are no letters."""
     return _runs_of(text.lower())
@@ -128,10 +128,17 @@ def strings_of(text: str) -> list[str]:
 
 
 def _runs_of(text: str) -> list[str]:
+    # Most strings are one run of letters, maybe between signs.
+    if text.isalpha():
+        return [text]
+    core = text.strip(SIGNS)
+    if core.isalpha():
+        return [core]
     if text.isascii():
         return ASCII_LETTERS.findall(text)
-    whole, special = _letters()
-    return (whole if special.search(text) else PLAIN_LETTERS).findall(text)
+    # Letters (Unicode category L) with the marks (M) after them.
+    kinds = "".join([unicodedata.category(c)[0] for c in text])
+    return [text[x.start() : x.end()] for x in LETTERS_AND_MARKS.finditer(kinds)]
 
 
 def _by_length(words: list[str]):
@@ -148,89 +155,90 @@ def _by_length(words: list[str]):
 
 
 def _spans(codes: np.ndarray, pieces: Pieces, backwards: bool = False):
-    """``(i, j, id)`` with the piece id of characters i to j of every word, or -1, for all spans with a piece.
+    """``(i, j, at, ids)``: the words ``at`` have the pieces ``ids`` at characters i to j; for all spans with a piece.
 
-    Spans come by rising i, or by falling i.
+    Spans come by rising i, or by falling i. A word is followed only as long as a piece begins like it.
     """
     n, m = codes.shape
     for i in range(n - 1, -1, -1) if backwards else range(n):
-        h = np.zeros(m, np.uint64)
+        at, h = np.arange(m), np.zeros(m, np.uint64)
         for j in range(i + 1, min(n, i + pieces.longest) + 1):
             with np.errstate(over="ignore"):
-                h = (h + codes[j - 1] + np.uint64(1)) * HASH_BASE
-            found = pieces.find(h)
+                h = (h + codes[j - 1, at] + np.uint64(1)) * HASH_BASE
+            found = pieces.begun(h)
             if j == i + 1:
-                found[found < 0] = pieces.size - 1
-            elif found.max() < 0:
-                continue
-            yield i, j, found
+                # Any single character has a piece.
+                yield i, j, at, np.where((found < 0) | (found == pieces.size), pieces.size - 1, found)
+            else:
+                whole = (found >= 0) & (found < pieces.size)
+                if whole.any():
+                    yield i, j, at[whole], found[whole]
+            begun = found >= 0
+            at, h = at[begun], h[begun]
+            if not len(at):
+                break
 
 
 def _forward(codes: np.ndarray, spans, table: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Scaled forward sums, places x words x languages, and what the sums from a place on were divided by there.
-
-    ``table`` has a last row of zeros for id -1.
-    """
+    """Scaled forward sums, places x words x languages, and what the sums from a place on were divided by there."""
     alpha = np.zeros((len(codes) + 1, codes.shape[1], table.shape[1]))
     alpha[0] = 1.0
     divisors: dict[int, np.ndarray] = {}
-    for i, j, found in spans:
+    for i, j, at, found in spans:
         if i % RESCALE == 0 and i and i not in divisors:
             divisors[i] = alpha[i].copy()
             alpha[i : i + longest] /= divisors[i]
-        at = np.flatnonzero(found >= 0)
-        if 2 * len(at) > len(found):
+        if len(at) == codes.shape[1]:
             alpha[j] += alpha[i] * table[found] * SCALE ** (j - i)
         else:
-            alpha[j, at] += alpha[i, at] * table[found[at]] * SCALE ** (j - i)
+            alpha[j, at] += alpha[i, at] * table[found] * SCALE ** (j - i)
     return alpha, divisors
 
 
-def _padded(probabilities: np.ndarray) -> np.ndarray:
-    return np.vstack((probabilities, np.zeros((1, probabilities.shape[1]))))
-
-
 def word_scores(words: list[str], pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language, summed over all segmentations."""
-    out, table = np.zeros((len(words), probabilities.shape[1])), _padded(probabilities)
+    out = np.zeros((len(words), probabilities.shape[1]))
     for at, codes in _by_length(words):
-        alpha, divisors = _forward(codes, _spans(codes, pieces), table, pieces.longest)
+        alpha, divisors = _forward(codes, _spans(codes, pieces), probabilities, pieces.longest)
         out[at] = np.log(alpha[-1]) - len(codes) * np.log(SCALE) + sum(map(np.log, divisors.values()))
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, probabilities: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in one language, over all segmentations of the counted words."""
-    out, table = np.zeros(pieces.size + 1), _padded(probabilities[:, None])
+    out, table = np.zeros(pieces.size), probabilities[:, None]
 
     def add(ids: list[np.ndarray], uses: list[np.ndarray]) -> None:
-        # Id -1 has no uses; it counts at the end.
-        all_ids = np.concatenate(ids)
-        np.add(out, np.bincount(np.where(all_ids < 0, pieces.size, all_ids), np.concatenate(uses), minlength=pieces.size + 1), out=out)
+        np.add(out, np.bincount(np.concatenate(ids), np.concatenate(uses), minlength=pieces.size), out=out)
 
-    for at, codes in _by_length(words):
+    for rows, codes in _by_length(words):
         # Spans of long words are found twice rather than kept.
         kept = list(_spans(codes, pieces)) if len(codes) <= 64 else None
         alpha, divisors = _forward(codes, kept or _spans(codes, pieces), table, pieces.longest)
         alpha = alpha[:, :, 0]
         beta = np.zeros_like(alpha)
-        beta[-1] = counts[at] / alpha[-1]
+        beta[-1] = counts[rows] / alpha[-1]
         ids, uses = [], []
-        for i, j, found in reversed(kept) if kept else _spans(codes, pieces, backwards=True):
-            back = beta[j] * table[found, 0] * SCALE ** (j - i)
+        for i, j, at, found in reversed(kept) if kept else _spans(codes, pieces, backwards=True):
+            back = beta[j, at] * table[found, 0] * SCALE ** (j - i)
             # A place where sums were scaled lies inside the span or at its end.
             for k in range((i // RESCALE + 1) * RESCALE, j + 1, RESCALE):
                 if k in divisors:
-                    back = back / divisors[k][:, 0]
-            beta[i] += back
+                    back = back / divisors[k][at, 0]
+            beta[i, at] += back
             ids.append(found)
-            uses.append(alpha[i] * back)
+            uses.append(alpha[i, at] * back)
             if len(ids) >= 4096:
                 add(ids, uses)
                 ids, uses = [], []
         if ids:
             add(ids, uses)
-    return out[:-1]
+    return out
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    """As ``to_pylist``, but without a wrapper around each string."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -294,8 +302,8 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Model:
             number = {k: i for i, k in enumerate(languages)}
             sums = np.zeros((vocab.size, len(languages)))
             for batch in gathered(batches, LEARN_ROWS):
-                names = np.array([number[x] for x in batch.column(0).to_pylist()])
-                words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
+                names = np.array([number[x] for x in _listed(batch.column(0))])
+                words, counts = _listed(batch.column(1)), batch.column(2).to_numpy().astype(float)
                 for k in np.unique(names):
                     at = np.flatnonzero(names == k)
                     sums[:, k] += expected_counts([words[i] for i in at], counts[at], vocab, table[:, k])
@@ -326,32 +334,44 @@ def predict(docs: DataFrame, pieces: Pieces, model: Model) -> DataFrame:
 
     def fn(batches):
         vocab, model = Pieces(*shared.value[0]), Model(*shared.value[1])
-        # Numbers of words, and those of the words of each string.
+        # Rows of words in ``scores``, and of strings in ``sums``: of their words' scores, with the number of words.
         known: dict[str, int] = {}
-        numbers: dict[str, tuple[int, ...]] = {}
-        scores = np.zeros((0, len(model.languages)))
+        numbers: dict[str, int] = {}
+        scores = sums = np.zeros((0, len(model.languages)))
+        sizes = np.zeros(0, np.int64)
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
             texts, best, share = texts_in(batch.column(0)), [], []
             for at, to in slices(texts):
-                docs_strings = [strings_of(t) for t in texts[at:to].to_pylist()] if model.languages else [[]] * (to - at)
+                docs_strings = [strings_of(t) for t in _listed(texts[at:to])] if model.languages else [[]] * (to - at)
                 if max(len(known), len(numbers)) > REMEMBER:
                     known.clear()
                     numbers.clear()
-                    scores = scores[:0]
-                new = {x: _runs_of(x) for x in set().union(*docs_strings).difference(numbers)}
-                fresh = sorted(set().union(*new.values()).difference(known))
-                if fresh:
+                    scores, sums, sizes = scores[:0], sums[:0], sizes[:0]
+                met = pa.array(chain.from_iterable(docs_strings), pa.string()).dictionary_encode()
+                distinct = _listed(met.dictionary)
+                new = [x for x in distinct if x not in numbers]
+                if new:
+                    runs = [_runs_of(x) for x in new]
+                    fresh = list(set().union(*runs).difference(known))
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     scores = np.vstack((scores, word_scores(fresh, vocab, model.probabilities)))
-                numbers.update({x: tuple(map(known.__getitem__, ws)) for x, ws in new.items()})
-                for p in docs_strings:
-                    own = np.array(list(chain.from_iterable(map(numbers.__getitem__, p))), np.int64)
-                    if not len(own):
+                    numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
+                    n = np.fromiter(map(len, runs), np.int64, len(runs))
+                    own = np.array([known[w] for ws in runs for w in ws], np.int64)
+                    found = np.zeros((len(new), len(model.languages)))
+                    if len(own):
+                        found[n > 0] = np.add.reduceat(scores[own], (np.cumsum(n) - n)[n > 0], axis=0)
+                    sums, sizes = np.vstack((sums, found)), np.concatenate((sizes, n))
+                rows = np.array([numbers[x] for x in distinct], np.int64)[met.indices.to_numpy()]
+                cuts = np.concatenate(([0], np.cumsum([len(p) for p in docs_strings])))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    own = rows[a:b]
+                    if not sizes[own].any():
                         best.append(len(model.languages))
                         share.append(0.0)
                         continue
-                    total = scores[own].sum(axis=0)
+                    total = sums[own].sum(axis=0)
                     k = int(total.argmax())
                     best.append(k)
                     share.append(float(1.0 / np.exp(total - total[k]).sum()))

@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -107,6 +108,28 @@ def test_languages(spark):
     assert langid.predict(docs.limit(0), PIECES, langid.Model(["a"], np.ones((PIECES.size, 1)))).count() == 0
 
 
+def test_words_are_followed_as_long_as_a_piece_begins_like_them(monkeypatch):
+    asked, begun = [], langid.Pieces.begun
+    monkeypatch.setattr(langid.Pieces, "begun", lambda self, hashes: asked.append(len(hashes)) or begun(self, hashes))
+    words = ["qxzjvkqxzjvk"] * 50
+    table = np.random.default_rng(1).dirichlet(np.ones(PIECES.size), 2).T
+    assert np.allclose(langid.word_scores(words, PIECES, table), langid.word_scores(words[:1], PIECES, table)[0])
+    # There are 4,550 spans in the 50 words.
+    assert sum(asked[: len(asked) // 2]) < 2500
+
+
+@pytest.mark.parametrize("text", ["word", "(straße),", "don't", "aⅣb", "e\u0301a b", "\u0301a", "½x²", "𝐀𐍈1", "中文、字", "a_b", "", "…"])
+def test_runs_of_letters(text):
+    want = [""]
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or kind == "M" and want[-1]:
+            want[-1] += c
+        else:
+            want.append("")
+    assert langid._runs_of(text) == [w for w in want if w]
+
+
 def test_trees():
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 5))
