@@ -32,6 +32,9 @@ RARE = 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS = 3
 BATCH, RATE = 4096, 0.08
+# Greatest size of logits whose exponentials are summed up as they are.
+MOST = 60.0
+ONES = np.ones(max(CLASSES, PER_CLASS), np.float32)
 # Words of a part that one copy is trained on, about; words whose windows are made at a time.
 PART_WORDS, SOME_WORDS = 1 << 21, 1 << 17
 # Distinct words that a task counts before it sends them on.
@@ -141,23 +144,34 @@ def windows(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return line[at[:, None] + around].astype(np.int64), line[at].astype(np.int64), sizes
 
 
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials can be summed up: in place, rows lose their greatest value if any value is too large."""
+    if x.size and (x.max() > MOST or x.min() < -MOST):
+        x -= x.max(axis=1, keepdims=True)
+    return x
+
+
 def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Logarithm of the chosen column's share in the softmax of each row."""
-    x -= x.max(axis=1, keepdims=True)
+    x = _bounded(x)
     picked = x[np.arange(len(x)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(x, out=x).sum(axis=1))
+    return picked - np.log(np.exp(x, out=x) @ ONES[: x.shape[1]])
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def _errors(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``e, per`` with ``e * per[:, None]`` the softmax of each row, less one at its chosen column."""
+    e = _bounded(x)
+    np.exp(e, out=e)
+    sums = e @ ONES[: x.shape[1]]
+    e[np.arange(len(e)), chosen] -= sums
+    return e, 1 / sums
 
 
 def _hidden(w: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = w["embed"][context].reshape(len(context), -1)
-    return x, np.tanh(x @ w["inner"] + w["bias"])
+    x = w["embed"].take(context, axis=0).reshape(len(context), -1)
+    h = x @ w["inner"]
+    h += w["bias"]
+    return x, np.tanh(h, out=h)
 
 
 def _class_order(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +195,12 @@ def log_probabilities(w: dict[str, np.ndarray], context: np.ndarray, target: np.
     return out
 
 
-def _step(w: np.ndarray, past: np.ndarray, at, g: np.ndarray) -> None:
-    """A step of Adagrad for the chosen rows, in place."""
-    past[at] += g * g
-    w[at] -= RATE * g / np.sqrt(past[at])
+def _step(w: np.ndarray, past: np.ndarray, g: np.ndarray) -> None:
+    """A step of Adagrad, in place; ``g`` is used up."""
+    past += g * g
+    g *= RATE
+    g /= np.sqrt(past)
+    w -= g
 
 
 def train_on(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, past: dict[str, np.ndarray], seed: int) -> None:
@@ -197,17 +213,18 @@ def train_on(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
         rows = rows[by_class]
         c, t = context[rows], target[rows]
         x, h = _hidden(w, c)
-        p = _softmax(h @ w["to_class"] + w["class_bias"])
-        p[np.arange(len(t)), t // PER_CLASS] -= 1
-        grads = {"to_class": h.T @ p, "class_bias": p.sum(axis=0)}
+        p, per = _errors(h @ w["to_class"] + w["class_bias"], t // PER_CLASS)
+        p *= per[:, None]
+        p /= len(t)
+        grads = {"to_class": h.T @ p, "class_bias": p.sum(axis=0)} | {k: np.zeros_like(w[k]) for k in ("to_id", "id_bias")}
         back = p @ w["to_class"].T
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             some = slice(cuts[k], cuts[k + 1])
-            q = _softmax(h[some] @ w["to_id"][k] + w["id_bias"][k])
-            q[np.arange(len(q)), t[some] % PER_CLASS] -= 1
-            back[some] += q @ w["to_id"][k].T
-            _step(w["to_id"], past["to_id"], k, h[some].T @ q / len(t))
-            _step(w["id_bias"], past["id_bias"], k, q.sum(axis=0) / len(t))
+            e, per = _errors(h[some] @ w["to_id"][k] + w["id_bias"][k], t[some] % PER_CLASS)
+            # Rows are divided by their sums on the narrow side.
+            per /= len(t)
+            back[some] += (e @ w["to_id"][k].T) * per[:, None]
+            grads["to_id"][k], grads["id_bias"][k] = (h[some] * per[:, None]).T @ e, per @ e
         back *= 1 - h * h
         grads["inner"], grads["bias"] = x.T @ back, back.sum(axis=0)
         # Only words that occur have a gradient: their rows are summed up in order.
@@ -215,9 +232,11 @@ def train_on(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
         sorted_words = np.argsort(words, kind="stable")
         first = np.flatnonzero(np.diff(words[sorted_words].astype(np.int64), prepend=-1))
         sums = np.add.reduceat((back @ w["inner"].T).reshape(-1, WIDTH)[sorted_words], first, axis=0)
-        _step(w["embed"], past["embed"], words[sorted_words[first]], sums / len(t))
+        met = words[sorted_words[first]]
+        past["embed"][met] += sums * sums
+        w["embed"][met] -= RATE * sums / np.sqrt(past["embed"][met])
         for k, g in grads.items():
-            _step(w[k], past[k], slice(None), g / len(t))
+            _step(w[k], past[k], g)
 
 
 def id_counts(rows: DataFrame) -> np.ndarray:
@@ -289,7 +308,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
                     yield pa.record_batch({"i": pa.array(np.arange(len(w))), "sum": pa.array(w.astype(np.float64) * seen), "n": pa.array(np.full(len(w), seen))})
 
         now = rows.filter(F.pmod(F.xxhash64("text_hash"), F.lit(rounds)) == number)
-        now = now.repartition(parts, "part").sortWithinPartitions("part", "text_hash", "ids").select("part", "ids")
+        now = now.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "text_hash", "ids").select("part", "ids")
         sums = now.mapInArrow(fn, "i long, sum double, n long").groupBy("i").agg((F.sum("sum") / F.sum("n")).alias("w"))
         got = sums.toPandas()
         weights = weights.copy()

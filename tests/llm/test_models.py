@@ -214,6 +214,30 @@ def test_gradients():
     assert np.exp(mlm.log_probabilities(w, np.repeat(context[7:8], len(every), axis=0), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_logits_of_any_size():
+    x = np.array([[0, 1, 2], [-500, 400, 399], [80, 80, 80]], np.float32)
+    want = x - np.log(np.exp(x.astype(float) - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - x.max(axis=1, keepdims=True)
+    for k in range(3):
+        assert np.allclose(mlm._log_share(x.copy(), np.full(3, k)), want[:, k], rtol=1e-5)
+    e, per = mlm._errors(x.copy(), np.array([2, 1, 0]))
+    assert np.allclose(e * per[:, None], np.exp(want) - np.eye(3)[[2, 1, 0]], atol=1e-6)
+
+
+def test_each_part_has_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(mlm, "PART_WORDS", 300)
+    tasks, dealt = [], type(spark.range(0)).mapInArrow
+
+    def seen(df, fn, schema):
+        if "part" in df.columns:
+            tasks.append([sorted({r.part for r in rows}) for rows in df.rdd.glom().collect()])
+        return dealt(df, fn, schema)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", seen)
+    docs = spark.createDataFrame([(i, f"w{i % 7} b c d e f g h") for i in range(600)], "doc_id long, text string")
+    mlm.train(mlm.with_ids(docs, mlm.frequent_words(docs)))
+    assert len(tasks) == mlm.ROUNDS and all(len(parts) <= 1 for found in tasks for parts in found)
+
+
 def test_scores(spark):
     rows = [(i, "the cat sat on the mat and the dog sat on the log " * 4, "a") for i in range(40)] + [(50, None, "b"), (51, " ", "c"), (None, "zebra", "d"), (52, "mat the on zz qq " * 9000, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
